@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash
+from . import bpe, minhash, secrets
 from .common import load
 
 
@@ -20,10 +20,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents")).drop("tk")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_near_duplicates": op3_near_duplicates, "op6_bpe": op6_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_near_duplicates": op3_near_duplicates, "op5_secrets": op5_secrets, "op6_bpe": op6_bpe}
 
 ORACLES: dict[str, str] = {}
