@@ -2,10 +2,11 @@
 
 Each document's set of word shingles is reduced to one minimum per bin of a single permutation; empty bins borrow from
 full ones by a random walk that is the same for all sets. Bands of bins make buckets. In each bucket that still spans
-more than one component, the least member is a centre and is compared with the members of other components only, so
-edges form a star and pair counts stay near the number of members. Centres leave, components merge, and the next round
-takes as many centres more as are needed; a bucket ends when its members are in one component or all pairs of different
-components were compared. Every link is confirmed on the full sets. Nothing is capped or sampled.
+more than one component, the member that shares most buckets is a centre and is compared with the members of other
+components only, so edges form a star and pair counts stay near the number of members. Centres leave, components merge,
+and later rounds take more centres a bucket; a bucket ends when its members are in one component or all pairs of
+different components were compared. Pairs whose sizes, or whose numbers of shingles that no other candidate has, rule a
+link out aren't compared. Every link is confirmed on the full sets. Nothing is capped or sampled.
 
 Defined results: null and empty texts have an empty set and link with nothing; texts of fewer words than a shingle are
 one shingle of all their words; repeated rows and copies have the same set and so the same component; a null id counts
@@ -27,8 +28,8 @@ from .graph import components
 SHINGLE = 5
 ROWS, BANDS = 4, 24
 BINS = ROWS * BANDS
-#: Bands that take part from each round on: few rows of the first bands link most copies, which the others then skip.
-SCHEDULE = (2, 8, BANDS)
+#: Bands of the first round, which link most copies, so that the others needn't be looked at.
+FIRST_BANDS = 2
 
 
 def donors() -> np.ndarray:
@@ -119,6 +120,19 @@ def full_sets(df: DataFrame) -> DataFrame:
     return df.select("text").mapInArrow(run, "fp long, own array<long>")
 
 
+def without_loners(rows: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Bounds what each set can share: s is its number of shingles that another set of these rows has as well.
+
+    Sets that by this bound are too far from all others go; no link is lost.
+    """
+    members = scratch.table(rows.select("fp").distinct())
+    each = sets.join(members, "fp").select("fp", F.explode("own").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.min("fp").alias("fp"), F.max("fp").alias("high")).where("fp = high")
+    alone = scratch.table(alone.groupBy("fp").agg(F.count("*").alias("alone")))
+    rows = rows.join(alone, "fp", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return rows.where(F.col("s") * 100 >= F.col("n") * percent)
+
+
 def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, tk, n_shingles, component_id, kept; a row for each row of df (doc_id, text).
 
@@ -130,8 +144,10 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     classes = found.where("fp is not null").groupBy("fp").agg(F.min("n_shingles").alias("n"), F.min(F.struct("doc_id", "tk")).alias("row"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     classes = scratch.table(classes)
     rows = classes.select("fp", "n", F.posexplode("bands").alias("band", "bucket"))
-    shared = scratch.table(rows.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("bucket"))
+    shared = scratch.table(rows.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("many")).where("low < high").select("bucket", "many"))
     rows = scratch.table(rows.join(shared, "bucket"))
+    central = scratch.table(rows.groupBy("fp").agg(F.sum("many").alias("degree")))
+    rows = scratch.table(rows.drop("many").join(central, "fp").withColumn("s", F.col("n")))
 
     wanted = scratch.table(rows.select("fp").distinct().join(classes, "fp").select(F.col("row.doc_id").alias("id"), F.col("row.tk").alias("key")))
     own = df.select("doc_id", "text", F.xxhash64("text").alias("tk")).join(wanted, F.expr("doc_id <=> id and tk = key"), "left_semi")
@@ -140,18 +156,20 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     label = None  # (node, label) of the sets that have been linked
     turn, centres = 0, 1
     while True:
-        bands = SCHEDULE[min(turn, len(SCHEDULE) - 1)]
-        here = rows if label is None else rows.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        here = here.withColumn("label", F.col("fp")) if label is None else here
+        here = rows.withColumn("label", F.col("fp")) if label is None else rows.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         here = scratch.table(here)
-        open_ = scratch.table(here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("band").alias("b")).where("low < high").select("bucket", "b"))
-        if open_.isEmpty():
+        mixed = scratch.table(here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"))
+        if mixed.isEmpty():
             break
-        here = scratch.table(here.join(open_.select("bucket"), "bucket"))
+        here = scratch.table(here.join(mixed, "bucket"))
+        if turn == 1:
+            here = scratch.table(without_loners(here, sets, scratch, percent))
         part = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(centres))
-        chosen = here.where(F.col("band") < bands).groupBy("bucket", part.alias("part")).agg(F.min(F.struct("fp", "n", "label")).alias("c"))
-        chosen = scratch.table(chosen.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("na"), F.col("c.label").alias("la")))
-        pairs = here.join(chosen, "bucket").where((F.col("label") != F.col("la")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent))
+        chosen = here.where(F.col("band") < FIRST_BANDS) if turn == 0 else here
+        chosen = chosen.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("degree", "fp", "n", "s", "label")).alias("c"))
+        chosen = scratch.table(chosen.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("na"), F.col("c.s").alias("sa"), F.col("c.label").alias("la")))
+        most = F.least("s", "sa", "n", "na")  # words that the two can share
+        pairs = here.join(chosen, "bucket").where((F.col("label") != F.col("la")) & (most * 100 >= (F.col("n") + F.col("na") - most) * percent))
         pairs = scratch.table(pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"), F.when(F.col("a") < F.col("fp"), F.col("la")).otherwise(F.col("label")).alias("la"), F.when(F.col("a") < F.col("fp"), F.col("label")).otherwise(F.col("la")).alias("lb")).distinct())
         with_b = pairs.join(sets.select(F.col("fp").alias("b"), F.col("own").alias("other")), "b")
         both = with_b.join(sets.select(F.col("fp").alias("a"), "own"), "a")
@@ -168,7 +186,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
                 label = scratch.table(old.union(fresh.select("node", "label")))
         rows = here.drop("label").join(chosen.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
         turn += 1
-        centres *= 1 if turn < len(SCHEDULE) else 2
+        centres *= 1 if turn < 2 else 4
     final = classes.select("fp", "least")
     final = final.withColumn("label", F.col("fp")) if label is None else final.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     final = scratch.table(final)

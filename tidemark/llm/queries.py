@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, secrets
+from . import bpe, minhash, mixing, pii, secrets
 from .common import load
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(load(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents")).drop("tk")
 
@@ -28,6 +32,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_near_duplicates": op3_near_duplicates, "op5_secrets": op5_secrets, "op6_bpe": op6_bpe}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.in_order(mixing.plan(load(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_near_duplicates": op3_near_duplicates, "op5_secrets": op5_secrets, "op6_bpe": op6_bpe, "op10_mixing": op10_mixing}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_mixing": mixing.SQL}
