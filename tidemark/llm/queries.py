@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, pii, secrets
+from . import ann, bpe, minhash, mixing, pii, secrets, topk
 from .common import load
 
 
@@ -24,6 +24,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents")).drop("tk")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
@@ -32,10 +36,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(load(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixing.plan(load(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_near_duplicates": op3_near_duplicates, "op5_secrets": op5_secrets, "op6_bpe": op6_bpe, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_near_duplicates": op3_near_duplicates, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op10_mixing": op10_mixing}
 
-ORACLES: dict[str, str] = {"op10_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op7_topk": topk.SQL, "op10_mixing": mixing.SQL}
