@@ -134,7 +134,9 @@ def without_loners(rows: DataFrame, sets: DataFrame, scratch: Scratch, percent:
 
 
 def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, tk, n_shingles, component_id, kept; a row for each row of df (doc_id, text).
+    """doc_id, tk, n_shingles, component_id, kept, group; a row for each row of df (doc_id, text).
+
+    group tells components apart where ids don't (null: no words).
 
     Rows link if 100 * intersection >= percent * union of their sets, and components are of linked rows.
     """
@@ -191,7 +193,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     final = final.withColumn("label", F.col("fp")) if label is None else final.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     final = scratch.table(final)
     least = scratch.table(final.groupBy("label").agg(F.min("least").alias("component_id")))
-    final = scratch.table(final.join(least, "label").select("fp", "component_id"))
+    final = scratch.table(final.join(least, "label").select("fp", "component_id", F.col("label").alias("group")))
     out = found.select("doc_id", "tk", "n_shingles", "fp").join(final, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "tk", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    return out.select("doc_id", "tk", "n_shingles", component.alias("component_id"), "group").withColumn("kept", F.expr("doc_id <=> component_id"))
