@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, minhash, mixing, pii, quality, secrets, topk
+from . import ann, bpe, lm, minhash, mixing, pii, quality, secrets, topk
 from .common import load
 
 
@@ -20,6 +20,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(load(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents")).drop("tk", "group")
 
@@ -48,6 +52,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixing.plan(load(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_near_duplicates": op3_near_duplicates, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_lm": op2_lm, "op3_near_duplicates": op3_near_duplicates, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 
 ORACLES: dict[str, str] = {"op7_topk": topk.SQL, "op10_mixing": mixing.SQL}
