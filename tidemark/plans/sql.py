@@ -70,12 +70,12 @@ def prepare(catalog: Catalog, text: str, functions=None, rebound: dict[str, Data
     """
     spark = catalog.spark
     guard(spark, text)
-    if functions is not None:
-        text = functions(spark, text)
     known, rebound = set(catalog.names()), rebound or {}
     own = spark.newSession()
     for k, v in (("spark.sql.ansi.doubleQuotedIdentifiers", "true"), ("spark.sql.session.timeZone", "UTC")):
         own.conf.set(k, v)
+    if functions is not None:
+        text = functions(own, text)
     for name in referenced(spark, text):
         frame = rebound.get(name)
         if frame is None:
@@ -87,8 +87,6 @@ def prepare(catalog: Catalog, text: str, functions=None, rebound: dict[str, Data
             own.sql(f"SELECT * FROM global_temp.{view}").createOrReplaceTempView(f"`{name}`")
         finally:
             spark.catalog.dropGlobalTempView(view)
-    if functions is not None:
-        functions(own, text)
     return visible(own.sql(text))
 
 
