@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once, unless one document alone is longer.
 BLOCK_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,7 +40,12 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/tidemark-{uuid.uuid4().hex}"
         schema = df.schema
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")  # the shuffle files go as soon as the table is written
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self.made.append(path)
         return self.spark.read.schema(schema).parquet(path)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, lm, minhash, mixing, pii, quality, secrets, topk
+from . import ann, bpe, lm, minhash, mixing, pii, quality, secrets, suffix, topk
 from .common import load
 
 
@@ -44,6 +44,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top(load(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(load(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -52,6 +56,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixing.plan(load(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_lm": op2_lm, "op3_near_duplicates": op3_near_duplicates, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_lm": op2_lm, "op3_near_duplicates": op3_near_duplicates, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op8_suffix": op8_suffix, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 
 ORACLES: dict[str, str] = {"op7_topk": topk.SQL, "op10_mixing": mixing.SQL}
