@@ -16,7 +16,7 @@ TEXT_BYTES, SECONDS, RESULT_BYTES = 64 << 10, 60, 8 << 20
 #: Root nodes of parsed statements that only read.
 READS = {
     "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "LimitAll", "Offset", "Distinct", "Deduplicate", "Union", "Intersect", "Except", "UnresolvedWith", "WithWindowDefinition", "UnresolvedHaving", "UnresolvedInlineTable",
-    "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "Join", "LateralJoin", "Generate", "Expand", "Pivot", "Unpivot", "UnresolvedRelation", "UnresolvedTableValuedFunction", "OneRowRelation", "Window", "Sample", "UnresolvedTVFAliases", "LocalRelation", "ResolvedInlineTable",
+    "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "Join", "LateralJoin", "Generate", "Expand", "Pivot", "Unpivot", "UnresolvedRelation", "UnresolvedTableValuedFunction", "OneRowRelation", "Window", "Sample", "UnresolvedTVFAliases", "LocalRelation", "ResolvedInlineTable", "UnresolvedHint",
 }
 
 
