@@ -3,8 +3,8 @@
 Each document's set of word shingles is reduced to one minimum per bin of a single permutation; empty bins borrow from
 full ones by a random walk that is the same for all sets. Bands of bins make buckets. In each bucket that still spans
 more than one component, the member that shares most buckets is a centre and is compared with the members of other
-components only, so edges form a star and pair counts stay near the number of members. Centres leave, components merge,
-and later rounds take more centres a bucket; a bucket ends when its members are in one component or all pairs of
+components only, so edges form a star and pair counts stay near the number of members; a pair is made in the first band that its
+two share. Centres leave, components merge, and later rounds take more centres a bucket; a bucket ends when its members are in one component or all pairs of
 different components were compared. Pairs whose sizes, or whose numbers of shingles that no other candidate has, rule a
 link out aren't compared. Every link is confirmed on the full sets. Nothing is capped or sampled.
 
@@ -121,15 +121,16 @@ def full_sets(df: DataFrame) -> DataFrame:
 
 
 def without_loners(rows: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Bounds what each set can share: s is its number of shingles that another set of these rows has as well.
+    """Bounds what each set can share with one of another label: s is its number of shingles that such a set of these rows has.
 
-    Sets that by this bound are too far from all others go; no link is lost.
+    Sets that by this bound are too far from all others go; no link is lost. Shingles of one label are counted by a join that
+    reuses the exchange of the first pass.
     """
-    members = scratch.table(rows.select("fp").distinct())
-    each = sets.join(members, "fp").select("fp", F.explode("own").alias("shingle"))
-    alone = each.groupBy("shingle").agg(F.min("fp").alias("fp"), F.max("fp").alias("high")).where("fp = high")
-    alone = scratch.table(alone.groupBy("fp").agg(F.count("*").alias("alone")))
-    rows = rows.join(alone, "fp", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    members = scratch.table(rows.select("fp", "label").distinct())
+    each = sets.join(members, "fp").select("fp", "label", F.explode("own").alias("shingle")).repartition("shingle")
+    lone = each.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("shingle")
+    alone = scratch.table(each.join(lone, "shingle", "left_semi").groupBy("fp").agg(F.count("*").alias("alone")))
+    rows = rows.drop("s").join(alone, "fp", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     return rows.where(F.col("s") * 100 >= F.col("n") * percent)
 
 
@@ -152,7 +153,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     rows = scratch.table(rows.drop("many").join(central, "fp").withColumn("s", F.col("n")))
 
     wanted = scratch.table(rows.select("fp").distinct().join(classes, "fp").select(F.col("row.doc_id").alias("id"), F.col("row.tk").alias("key")))
-    own = df.select("doc_id", "text", F.xxhash64("text").alias("tk")).join(wanted, F.expr("doc_id <=> id and tk = key"), "left_semi")
+    own = df.select("doc_id", "text", F.xxhash64("text").alias("tk")).hint("merge").join(wanted, F.expr("doc_id <=> id and tk = key"), "left_semi")
     sets = scratch.table(full_sets(own).groupBy("fp").agg(F.first("own").alias("own")))
 
     label = None  # (node, label) of the sets that have been linked
@@ -164,14 +165,18 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
         if mixed.isEmpty():
             break
         here = scratch.table(here.join(mixed, "bucket"))
-        if turn == 1:
-            here = scratch.table(without_loners(here, sets, scratch, percent))
+        once = F.lit(True)  # whether a pair's turn is in this band
+        if turn:
+            here = without_loners(here, sets, scratch, percent).join(classes.select("fp", "bands"), "fp")
+            here = scratch.table(here)
+            same = F.zip_with("bands", "others", lambda x, y: x == y)
+            once = F.array_position(same, F.lit(True)) == F.col("band") + 1
         part = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(centres))
         chosen = here.where(F.col("band") < FIRST_BANDS) if turn == 0 else here
-        chosen = chosen.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("degree", "fp", "n", "s", "label")).alias("c"))
-        chosen = scratch.table(chosen.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("na"), F.col("c.s").alias("sa"), F.col("c.label").alias("la")))
+        chosen = chosen.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("degree", "fp", "n", "s", "label", *["bands"] * bool(turn))).alias("c"))
+        chosen = scratch.table(chosen.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("na"), F.col("c.s").alias("sa"), F.col("c.label").alias("la"), *[F.col("c.bands").alias("others")] * bool(turn)))
         most = F.least("s", "sa", "n", "na")  # words that the two can share
-        pairs = here.join(chosen, "bucket").where((F.col("label") != F.col("la")) & (most * 100 >= (F.col("n") + F.col("na") - most) * percent))
+        pairs = here.join(chosen, "bucket").where((F.col("label") != F.col("la")) & (most * 100 >= (F.col("n") + F.col("na") - most) * percent) & once)
         pairs = scratch.table(pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"), F.when(F.col("a") < F.col("fp"), F.col("la")).otherwise(F.col("label")).alias("la"), F.when(F.col("a") < F.col("fp"), F.col("label")).otherwise(F.col("la")).alias("lb")).distinct())
         with_b = pairs.join(sets.select(F.col("fp").alias("b"), F.col("own").alias("other")), "b")
         both = with_b.join(sets.select(F.col("fp").alias("a"), "own"), "a")
@@ -186,7 +191,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
                 old = label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
                 fresh = merged.join(label, "node", "left_anti")
                 label = scratch.table(old.union(fresh.select("node", "label")))
-        rows = here.drop("label").join(chosen.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
+        rows = here.drop("label", "bands").join(chosen.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
         turn += 1
         centres *= 1 if turn < 2 else 4
     final = classes.select("fp", "least")
