@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import blocks, ragged, texts
 
 #: Bytes of text that a worker encodes at once, unless one document alone is longer.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 #: Pieces of more bytes are merged one by one with a heap: a matrix would need as many rounds as they have bytes.
 LONG_PIECE = 192
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -13,11 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once, unless one document alone is longer.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of a record batch that goes to a Python worker, unless one row is larger.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on this session's record batches are bounded by bytes, so that long texts don't fill a worker's memory."""
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH)) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -36,6 +45,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.made = spark, []
+        bounded(spark)
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/tidemark-{uuid.uuid4().hex}"

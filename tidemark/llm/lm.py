@@ -28,7 +28,7 @@ from .common import Scratch, blocks, texts, tokens
 
 CLASSES, WIDTH, FREQUENT = 1024, 16, 1 << 18
 ROUNDS, BATCH, SHARED, NOISE, RATE, GROUPS = 2, 4096, 128, 16, 0.2, 16
-BLOCK = 12 << 20
+BLOCK = 4 << 20
 OTHER, END, BEGIN = 0, 1, CLASSES  # BEGIN only stands in contexts
 END_WORD = "\n"  # no word holds it
 
