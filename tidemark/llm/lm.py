@@ -200,14 +200,26 @@ def class_scores(params: list[np.ndarray], own: np.ndarray, one: np.ndarray, two
     return found[back]
 
 
+def frequent(table: DataFrame) -> list:
+    """The most frequent words, FREQUENT at most, and the end: whole classes of counts (sixteenths of a doubling), so that no
+    partition sends more than what is taken. A word that isn't taken has at most one in FREQUENT of all tokens, or nearly."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    held, least = 0, None
+    for r in table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # a thousand rows at most
+        if held + r.n >= FREQUENT:
+            break
+        held, least = held + r.n, r.level
+    chosen = F.col("token") == END_WORD
+    return table.where(chosen if least is None else chosen | (level >= least)).collect()
+
+
 def score(df: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of df (doc_id, text)."""
     scratch = Scratch(df.sparkSession)
     rows = with_fold(df)
     table = scratch.table(counts(rows))
     totals = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    first = (F.col("token") == END_WORD).desc()
-    top = table.orderBy(first, F.col("c").desc(), "token").limit(FREQUENT).collect()
+    top = sorted(frequent(table), key=lambda r: (r.token != END_WORD, -r.c, r.token))
     names, own = [r.token for r in top], [r.c for r in top]
     if not names or names[0] != END_WORD:
         names, own = [END_WORD, *names], [0, *own]
