@@ -201,7 +201,7 @@ def distinct_first(df: DataFrame, column: str, function, out: str) -> DataFrame:
 
 
 #: A call of a model function whose second argument must be a literal, in SQL text.
-CALL = re.compile(r"\b(prompt_jev|prompt)\s*\(", re.I)
+CALL = re.compile(r"\b(prompt_jev|prompt|cosine_distance)\s*\(", re.I)
 
 
 def _arguments(text: str, at: int) -> tuple[list[str], int]:
@@ -242,12 +242,20 @@ class SqlFunctions:
         return self.rewritten(spark, text)
 
     def rewritten(self, spark: SparkSession, text: str) -> str:
+        from . import vector
+
         out, at = [], 0
         for m in CALL.finditer(text):
             if m.start() < at:
                 continue
             given, end = _arguments(text, m.end())
             kind = m[1].lower()
+            if kind == "cosine_distance":
+                # of plain columns it is written out, since SQL functions can't stand in every clause; arguments that call are evaluated once
+                if len(given) == 2 and not any("(" in g for g in given):
+                    out += [text[at : m.start()], f"({vector.COSINE_SQL.format(a=given[0], b=given[1])})"]
+                    at = end
+                continue
             if kind == "prompt_jev" and len(given) != 2 or kind == "prompt" and len(given) not in (1, 2):
                 raise Refused(f"{kind} doesn't take {len(given)} arguments")
             literal = given[1] if len(given) == 2 else None

@@ -23,7 +23,14 @@ READS = {
 def parse(spark: SparkSession, text: str):
     if len(text.encode()) > TEXT_BYTES:
         raise Refused(f"a statement has at most {TEXT_BYTES} bytes")
-    return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    # the parser goes by the settings of the thread's active session
+    kind = spark._get_j_spark_session_class(spark._jvm)
+    before = kind.getActiveSession()
+    kind.setActiveSession(spark._jsparkSession)
+    try:
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    finally:
+        kind.setActiveSession(before.get()) if before.isDefined() else kind.clearActiveSession()
 
 
 def _children(plan) -> list:
@@ -69,14 +76,16 @@ def prepare(catalog: Catalog, text: str, functions=None, rebound: dict[str, Data
     rebound: frames that stand in for tables. functions: registers what the statement calls, and may rewrite it.
     """
     spark = catalog.spark
-    guard(spark, text)
     known, rebound = set(catalog.names()), rebound or {}
     own = spark.newSession()
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold"):
+        own.conf.set(k, spark.conf.get(k))  # what the caller's session was tuned to
     for k, v in (("spark.sql.ansi.doubleQuotedIdentifiers", "true"), ("spark.sql.session.timeZone", "UTC")):
         own.conf.set(k, v)
+    guard(own, text)
     if functions is not None:
         text = functions(own, text)
-    for name in referenced(spark, text):
+    for name in referenced(own, text):
         frame = rebound.get(name)
         if frame is None:
             if name not in known:

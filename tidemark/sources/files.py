@@ -46,3 +46,12 @@ class Files:
 
     def drop(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where it is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
