@@ -238,6 +238,7 @@ class SqlFunctions:
 
         spark.udf.register("embed", embed_function(self.embedder))
         vector.register_cosine(spark)
+        spark.udf.register("tm_cosine", vector.cosine_function())
         dialect.register(spark)
         return self.rewritten(spark, text)
 
@@ -251,10 +252,12 @@ class SqlFunctions:
             given, end = _arguments(text, m.end())
             kind = m[1].lower()
             if kind == "cosine_distance":
-                # of plain columns it is written out, since SQL functions can't stand in every clause; arguments that call are evaluated once
+                # SQL functions can't stand in every clause: of plain columns it is written out, and other arguments are evaluated once
                 if len(given) == 2 and not any("(" in g for g in given):
                     out += [text[at : m.start()], f"({vector.COSINE_SQL.format(a=given[0], b=given[1])})"]
-                    at = end
+                else:
+                    out += [text[at : m.start()], f"tm_cosine({', '.join(self.rewritten(spark, g) for g in given)})"]
+                at = end
                 continue
             if kind == "prompt_jev" and len(given) != 2 or kind == "prompt" and len(given) not in (1, 2):
                 raise Refused(f"{kind} doesn't take {len(given)} arguments")

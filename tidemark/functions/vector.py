@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,21 @@ def register_cosine(spark) -> None:
     """``cosine_distance(a, b)`` in SQL, as a function that the optimizer inlines."""
     body = COSINE_SQL.format(a="a", b="b")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cosine_distance(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
+
+
+def cosine_function():
+    """The same as a function on Arrow batches, which may stand in any clause and evaluates its arguments once."""
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            if x is None or y is None:
+                return None
+            if len(x) != len(y):
+                raise ValueError("vectors have different lengths")
+            x, y = np.asarray(x, float), np.asarray(y, float)
+            norm = np.sqrt(x @ x) * np.sqrt(y @ y)
+            return 1 - x @ y / norm if norm else None
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return cosine

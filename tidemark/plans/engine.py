@@ -381,3 +381,11 @@ def phrase_values(spark, sf):
 @query(f"SELECT doc_id, CAST(len({_TOKENS}) AS INT) AS n FROM documents")
 def text_words(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.size(words(F.col("text"))).alias("n"))
+
+
+@query("SELECT kind, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM (SELECT event_id, upper(event_type) AS kind, value FROM events WHERE value > 20) GROUP BY kind")
+def flagship(spark, sf):
+    views = raw_events(spark, sf)
+    views.define(View("big", "raw", "select event_id, upper(event_type) as kind, value from raw where value > 20", target="big", batch_rows=rows_of(spark, sf, 2)))
+    views.drain("big")
+    return sql.prepare(views.catalog, 'SELECT kind, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM "big" GROUP BY kind')
