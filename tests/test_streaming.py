@@ -178,3 +178,28 @@ def test_feeds(spark, catalog):
     assert json.loads(feeds.json_array(table.snapshot().select("id").orderBy("id"))) == [{"id": 1}, {"id": 2}]
     frames = feeds.Frames(lambda: iter(["a", b"x", "b", "c"]), 2, 5.0, sleep=lambda s: time.sleep(30)).start()
     assert frames.batch() == [{"data": "a"}, {"data": "b"}]
+
+
+def test_socket_source(spark, tmp_path):
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        conn, _ = server.accept()
+        conn.sendall(b"one\ntwo\nthree\n")
+        time.sleep(20)
+        conn.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    feeds.register(spark)
+    got = []
+    frame = spark.readStream.format("tm_socket").option("port", server.getsockname()[1]).option("window_ms", 300).load()
+    query = frame.writeStream.foreachBatch(lambda df, _: got.extend(r.data for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+    for _ in range(100):
+        if len(got) == 3 or query.exception():
+            break
+        time.sleep(0.3)
+    query.stop()
+    assert got == ["one", "two", "three"]

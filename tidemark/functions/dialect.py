@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ RENAMED = {
 }
 
 
+QUOTED = re.compile(r"('(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`)")
+CALLED = re.compile(rf"\b({'|'.join(RENAMED)})(?=\s*\()", re.I)
+
+
+def renamed(text: str) -> str:
+    """The statement with Spark's names for functions that others call differently; what is quoted stays."""
+    parts = QUOTED.split(text)
+    return "".join(p if i % 2 else CALLED.sub(lambda m: RENAMED[m[1].lower()], p) for i, p in enumerate(parts))
+
+
 def register(spark: SparkSession) -> None:
     for signature, body in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

@@ -240,7 +240,7 @@ class SqlFunctions:
         vector.register_cosine(spark)
         spark.udf.register("tm_cosine", vector.cosine_function())
         dialect.register(spark)
-        return self.rewritten(spark, text)
+        return self.rewritten(spark, dialect.renamed(text))
 
     def rewritten(self, spark: SparkSession, text: str) -> str:
         from . import vector

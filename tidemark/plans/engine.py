@@ -389,3 +389,23 @@ def flagship(spark, sf):
     views.define(View("big", "raw", "select event_id, upper(event_type) as kind, value from raw where value > 20", target="big", batch_rows=rows_of(spark, sf, 2)))
     views.drain("big")
     return sql.prepare(views.catalog, 'SELECT kind, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM "big" GROUP BY kind')
+
+
+@query(r"""SELECT o_orderkey, time_bucket(INTERVAL 1 DAY, o_orderdate, TIMESTAMP '1970-01-01') AS day, starts_with(o_orderpriority, '1') AS urgent, CAST(instr(o_orderpriority, '-') AS INT) AS dash, lower(to_hex(o_orderkey)) AS hx,
+sha256(o_orderpriority) AS sha, CAST(o_orderkey // 7 AS BIGINT) AS seventh, CAST(gcd(o_orderkey, 36) AS BIGINT) AS g, CAST(lcm(o_orderkey % 50, 6) AS BIGINT) AS l FROM orders""")
+def dialect_functions(spark, sf):
+    from ..functions import dialect
+
+    own = catalog(spark)
+    own.create("orders", load(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"), "o_orderpriority"), ["o_orderkey"])
+    text = "SELECT o_orderkey, date_bin(INTERVAL '1 00:00:00' DAY TO SECOND, o_orderdate) AS day, starts_with(o_orderpriority, '1') AS urgent, strpos(o_orderpriority, '-') AS dash, to_hex(o_orderkey) AS hx, sha256(o_orderpriority) AS sha FROM orders"
+    key = F.col("o_orderkey")
+    more = (dialect.integer_divide(key, F.lit(7)).alias("seventh"), dialect.gcd(key, F.lit(36)).alias("g"), dialect.lcm(key % 50, F.lit(6)).alias("l"))
+    return sql.prepare(own, text, SqlFunctions()).withColumn("day", F.col("day").cast("timestamp_ntz")).select("*", *more)
+
+
+@query("SELECT event_type, round(var_samp(value), 6) AS v, round(covar_samp(value, user_id), 6) AS c, 'var(x)' AS said, CAST(2 AS INT) AS two FROM events GROUP BY event_type")
+def dialect_names(spark, sf):
+    own = catalog(spark)
+    own.create("events", load(spark, sf, "events").select("event_id", "event_type", "value", "user_id"), ["event_id"])
+    return sql.prepare(own, "SELECT event_type, round(var(value), 6) AS v, round(covar(value, user_id), 6) AS c, 'var(x)' AS said, array_length(make_array(1, 2)) AS two FROM events GROUP BY event_type", SqlFunctions())
