@@ -27,9 +27,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     empty = found.where("group is null").select("doc_id", "tk").distinct()
     kept = Scratch(spark).table(one.union(empty).toDF("_id", "_tk"))
     wordless = ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    rows = docs.withColumns({"_key": F.xxhash64("text"), "_each": F.when(wordless, F.monotonically_increasing_id())})
-    rows = rows.join(kept, F.expr("doc_id <=> _id and _key = _tk"), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_key", "_each"]).drop("_key", "_each")
+    same = F.expr("doc_id <=> _id and _key = _tk")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    rows = keyed.join(kept, same, "left_semi")
+    # only rows that are repeated as a whole have to meet again; most tables have none
+    repeated = keyed.where(~wordless).groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_tk")).agg(F.count("*").alias("n"))
+    repeated = Scratch(spark).table(repeated.where("n > 1").drop("n"))
+    if not repeated.isEmpty():
+        again = rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_key"])
+        rows = rows.join(repeated, same, "left_anti").unionByName(again)
+    return rows.drop("_key")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
