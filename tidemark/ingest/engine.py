@@ -20,7 +20,7 @@ from ..sources.tables import Catalog, Table
 from . import literals
 from .literals import STORED
 from .prose import prose
-from .rules import BRONZE, EXTRA, HISTORY, ID, QUARANTINE, Change, Judge, NoJudge, Rule, design, evolve, mapped, matching, profile, valid_source
+from .rules import BRONZE, EXTRA, HISTORY, ID, QUARANTINE, Change, Judge, NoJudge, Rule, design, evolve, key_refusal, mapped, matching, profile, valid_source
 
 SYSTEM = {
     BRONZE: {"name": BRONZE, "columns": [{"name": ID, "kind": "string"}, {"name": "source", "kind": "string"}, {"name": "received_at", "kind": "int64"}, {"name": "record", "kind": "string"}], "primary_key": [ID]},
@@ -113,7 +113,8 @@ class Ingest:
             self.files.create(f"ingest/routes/{source}.json", {"source": source, "table": rule.table})
         if source not in rule.sources:
             rule.sources.append(source)
-        more, reshaped, refuse = evolve(rule, objects, self.judge)
+        # a rule made from these very records has a column for each field, and every value fits it
+        more, reshaped, refuse = ([], False, key_refusal(rule)) if created else evolve(rule, objects, self.judge)
         changes += more
         added, notes = self._plan_embeddings(rule, objects)
         changes += notes
