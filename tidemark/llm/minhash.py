@@ -120,16 +120,15 @@ def full_sets(df: DataFrame) -> DataFrame:
     return df.select("text").mapInArrow(run, "fp long, own array<long>")
 
 
-def without_loners(rows: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def without_loners(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Bounds what each set can share with one of another label: s is its number of shingles that such a set of these rows has.
 
     Sets that by this bound are too far from all others go; no link is lost. Shingles of one label are counted by a join that
     reuses the exchange of the first pass.
     """
-    members = scratch.table(rows.select("fp", "label").distinct())
-    each = sets.join(members, "fp").select("fp", "label", F.explode("own").alias("shingle")).repartition("shingle")
+    each = sets.join(rows.select("fp", "label").distinct(), "fp").select("fp", "label", F.explode("own").alias("shingle")).repartition("shingle")
     lone = each.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("shingle")
-    alone = scratch.table(each.join(lone, "shingle", "left_semi").groupBy("fp").agg(F.count("*").alias("alone")))
+    alone = each.join(lone, "shingle", "left_semi").groupBy("fp").agg(F.count("*").alias("alone"))
     rows = rows.drop("s").join(alone, "fp", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     return rows.where(F.col("s") * 100 >= F.col("n") * percent)
 
@@ -161,13 +160,13 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     while True:
         here = rows.withColumn("label", F.col("fp")) if label is None else rows.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         here = scratch.table(here)
-        mixed = scratch.table(here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"))
-        if mixed.isEmpty():
-            break
+        mixed = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
         here = scratch.table(here.join(mixed, "bucket"))
+        if here.isEmpty():
+            break
         once = F.lit(True)  # whether a pair's turn is in this band
         if turn:
-            here = without_loners(here, sets, scratch, percent).join(classes.select("fp", "bands"), "fp")
+            here = without_loners(here, sets, percent).join(classes.select("fp", "bands"), "fp")
             here = scratch.table(here)
             same = F.zip_with("bands", "others", lambda x, y: x == y)
             once = F.array_position(same, F.lit(True)) == F.col("band") + 1
@@ -193,7 +192,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
                 label = scratch.table(old.union(fresh.select("node", "label")))
         rows = here.drop("label", "bands").join(chosen.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
         turn += 1
-        centres *= 1 if turn < 2 else 4
+        centres *= 1 if turn < 2 else 16
     final = classes.select("fp", "least")
     final = final.withColumn("label", F.col("fp")) if label is None else final.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     final = scratch.table(final)
