@@ -67,3 +67,12 @@ def test_edge_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
     twice = minhash.near_duplicates(df.union(df).union(spark.createDataFrame([(None, "a b", 0, 1)], df.schema))).collect()
     assert len(twice) == 15 and {r.component_id for r in twice if r.doc_id in (2, 9, None)} == {2}
+
+
+def test_empty_texts_at_the_end_of_a_batch(spark):
+    """Copies stay linked where texts without words follow them in the same batch."""
+    rows = [(1, "a b c d e f g"), (2, None), (3, "A b c d e f g"), (4, ""), (5, "a b c d e f g"), (6, " \n"), (7, "p q r s t u v w x y z"), (8, "a b c d e f g"), (9, None), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
+    check(minhash.near_duplicates(df).collect(), rows)
+    pieces = [spark.createDataFrame(rows[a:b], "doc_id long, text string").coalesce(1) for a, b in ((0, 2), (2, 4), (4, 6), (6, 10))]
+    check(minhash.near_duplicates(pieces[0].union(pieces[1]).union(pieces[2]).union(pieces[3])).collect(), rows)

@@ -61,11 +61,13 @@ def shingle_sets(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 def set_ids(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """One hash for each set; of no use for empty ones."""
-    start = np.minimum(np.cumsum(sizes) - sizes, max(0, len(sets) - 1))
-    if not len(sets):
-        return np.zeros(len(sizes), np.int64)
+    out, full = np.zeros(len(sizes), np.int64), np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    start = (np.cumsum(sizes) - sizes)[full]  # of sets that aren't empty, so each sum ends where the next set starts
     once, twice = (np.add.reduceat(x, start) for x in (sets, mix64(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
-    return mix64(mix64(once) + twice + sizes.astype(np.uint64)).view(np.int64)
+    out[full] = mix64(mix64(once) + twice + sizes[full].astype(np.uint64)).view(np.int64)
+    return out
 
 
 def band_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
