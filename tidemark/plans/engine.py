@@ -74,7 +74,7 @@ def keyed_composite_pk(spark, sf):
 
 @query(f"SELECT * FROM ({NEWEST}) WHERE value > 50")
 def keyed_filter_after_dedup(spark, sf):
-    return events_by_user(spark, sf).scan("value > 50")
+    return events_by_user(spark, sf).snapshot().where("value > 50")
 
 
 @query("SELECT n_name, n_regionkey FROM nation UNION SELECT upper(n_name), n_regionkey FROM nation")
