@@ -39,6 +39,9 @@ def any_case(word: str) -> str:
 VALUE = "[A-Za-z0-9+/_.=-]"
 NAMES = "|".join(map(any_case, ("password", "passwd", "secret", "token", "api_?key")))
 ASSIGN = f"({NAMES})[\"']?\\x20*[:=]\\x20*[\"']?{VALUE}"
+HEAD, TAIL = (f"-----{w} [A-Z ]*PRIVATE KEY-----" for w in ("BEGIN", "END"))
+#: The key as far as its END line, in which no two dashes meet; or, without that line, its lines of base64.
+KEY = f"((-?[^-])*{TAIL}|(\\x0D?\\x0A[A-Za-z0-9+/=]{{16,}})*(\\x0D?\\x0A[A-Za-z0-9+/]{{1,15}}==?)?)"
 BASE = (
     Rule("assign", ASSIGN, f"{ASSIGN}{VALUE}*", 6, 1),
     Rule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", 20),
@@ -49,7 +52,7 @@ MORE = (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("stripe", "[sr]k_(live|test)_[A-Za-z0-9]", "[sr]k_(live|test)_[A-Za-z0-9]+", 24),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 20),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 20),
+    Rule("pem", HEAD, f"{HEAD}{KEY}", 20),
 )
 RULES = BASE + MORE
 
