@@ -57,3 +57,17 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns and 3 not in {r.doc_id for r in kept.collect()}
     assert quality.classify(df, labels.limit(0)).where("kept").count() == 5
     assert quality.classify(df.limit(0), labels).count() == 0
+
+
+def test_held_out_toxic(spark):
+    """Fitted on half of the labelled rows, it drops toxic documents of the other half, fluent ones too, and keeps clean ones."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = labels.where("pmod(xxhash64(doc_id, 1), 2) = 0")
+    kept = {r.doc_id: r.kept for r in quality.classify(docs, half).collect()}
+    rest = [r for r in labels.collect() if r.doc_id not in {x.doc_id for x in half.collect()}]
+    toxic = [kept[r.doc_id] for r in rest if r.quality == 1 and r.toxic == 1]
+    good = [kept[r.doc_id] for r in rest if r.quality == 1 and r.toxic == 0]
+    junk = [kept[r.doc_id] for r in rest if r.quality == 0]
+    print(f"kept of held-out: toxic {np.mean(toxic):.4f} of {len(toxic)}, clean {np.mean(good):.4f} of {len(good)}, junk {np.mean(junk):.4f} of {len(junk)}")
+    assert np.mean(toxic) <= 0.1 and np.mean(good) >= 0.98 and np.mean(junk) <= 0.1
