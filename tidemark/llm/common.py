@@ -56,15 +56,17 @@ class Scratch:
             df.write.parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
-        self.made.append(path)
-        return self.spark.read.schema(schema).parquet(path)
+        made = self.spark.read.schema(schema).parquet(path)
+        self.made.append((made, path))
+        return made
 
-    def drop(self, keep: int = 0) -> None:
-        """Remove the tables made so far, but for the newest ``keep``."""
+    def clear(self, *keep: DataFrame) -> None:
+        """Remove the tables made so far but those to keep. What was derived from the others must have been written by now."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        gone, self.made = self.made[: len(self.made) - keep], self.made[len(self.made) - keep :]
-        for x in gone:
-            path = jvm.org.apache.hadoop.fs.Path(x)
+        gone = [x for x in self.made if not any(x[0] is df for df in keep)]
+        self.made = [x for x in self.made if any(x[0] is df for df in keep)]
+        for _, at in gone:
+            path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(conf).delete(path, True)
 
 
