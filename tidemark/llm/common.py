@@ -53,7 +53,7 @@ class Scratch:
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")  # the shuffle files go as soon as the table is written
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         made = self.spark.read.schema(schema).parquet(path)
