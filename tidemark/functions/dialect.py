@@ -70,4 +70,5 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def lcm(a: Column, b: Column) -> Column:
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(a * b).cast("long") / gcd(a, b)).cast("long")
+    """Least common multiple; the division comes first and is one of integers, so only a result beyond 64 bits overflows."""
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(integer_divide(a.cast("long"), gcd(a, b)) * b.cast("long")))

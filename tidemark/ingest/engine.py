@@ -66,8 +66,7 @@ class Ingest:
         return [self.rule(n.removesuffix(".json")) for n in self.files.names("ingest/tables")]
 
     def _save(self, rule: Rule) -> None:
-        self.files.drop(f"ingest/tables/{rule.table}.json")
-        self.files.create(f"ingest/tables/{rule.table}.json", rule.to_dict())
+        self.files.replace(f"ingest/tables/{rule.table}.json", rule.to_dict())
 
     # entry points
     def body(self, source: str, text: str) -> Report:

@@ -125,7 +125,7 @@ PAIRS = {
         "SELECT vec_id, size(embedding) AS n, array_max(transform(embedding, x -> CAST(x AS DOUBLE))) AS hi, array_min(transform(embedding, x -> CAST(x AS DOUBLE))) AS lo, size(filter(embedding, x -> x > 0)) AS pos, array_position(array(3, 1, 2), 1) AS at, array_join(slice(sequence(1, 10), 3, 4), ',') AS part, array_contains(array('a', 'b'), 'b') AS has, array_join(array_distinct(array(1, 1, 2)), ',') AS uniq, array_join(flatten(array(array(1, 2), array(3))), ',') AS flat FROM embeddings",
         "SELECT vec_id, CAST(len(embedding) AS INT) AS n, CAST(list_max(embedding) AS DOUBLE) AS hi, CAST(list_min(embedding) AS DOUBLE) AS lo, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INT) AS pos, CAST(list_position([3, 1, 2], 1) AS BIGINT) AS at, '3,4,5,6' AS part, true AS has, '1,2' AS uniq, '1,2,3' AS flat FROM embeddings",
     ),
-    "array_unnest": ("SELECT vec_id, pos, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x WHERE pos < 4", "SELECT vec_id, CAST(i - 1 AS INT) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest([1, 2, 3, 4]) AS i)"),
+    "array_unnest": ("SELECT vec_id, pos, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x", "SELECT vec_id, CAST(i - 1 AS INT) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)"),
     "map_struct_functions": (
         "SELECT n_nationkey, s['name'] AS name, s.region AS region, m['a'] AS a, array_join(map_keys(m), ',') AS ks, element_at(m, 'b') AS b FROM (SELECT n_nationkey, named_struct('name', n_name, 'region', n_regionkey) AS s, map('a', n_nationkey, 'b', n_regionkey) AS m FROM nation) t",
         "SELECT n_nationkey, n_name AS name, n_regionkey AS region, n_nationkey AS a, 'a,b' AS ks, n_regionkey AS b FROM nation",

@@ -100,13 +100,22 @@ def prepare(catalog: Catalog, text: str, functions=None, rebound: dict[str, Data
 
 
 def limited(spark: SparkSession, action, seconds: float = SECONDS):
-    """Run an action; its jobs are cancelled after so long."""
-    tag = f"tm-{uuid.uuid4().hex}"
+    """Run an action to its end; its jobs are cancelled after so long, and it is refused then."""
+    tag, over = f"tm-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        over.set()
+        spark.interruptTag(tag)
+
     spark.addTag(tag)
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag) if hasattr(spark, "interruptTag") else None)
+    timer = threading.Timer(seconds, stop)
     timer.start()
     try:
-        return action()
+        return action(over)
+    except Exception as e:
+        if over.is_set() and not isinstance(e, Refused):
+            raise Refused(f"the statement took more than {seconds} seconds") from e
+        raise
     finally:
         timer.cancel()
         spark.removeTag(tag)
@@ -115,11 +124,16 @@ def limited(spark: SparkSession, action, seconds: float = SECONDS):
 def query(catalog: Catalog, text: str, functions=None, seconds: float = SECONDS, most: int = RESULT_BYTES) -> list[dict]:
     """Rows of a statement as JSON values, refused beyond so many bytes."""
     df = prepare(catalog, text, functions)
-    out, size = [], 2
-    rows = limited(df.sparkSession, lambda: df.toJSON().toLocalIterator(), seconds)
-    for row in rows:
-        size += len(row.encode()) + 1
-        if size > most:
-            raise Refused(f"the result has more than {most} bytes")
-        out.append(json.loads(row))
-    return out
+
+    def rows(over: threading.Event) -> list[dict]:
+        out, size = [], 2
+        for row in df.toJSON().toLocalIterator():
+            if over.is_set():
+                raise Refused(f"the statement took more than {seconds} seconds")
+            size += len(row.encode()) + 1
+            if size > most:
+                raise Refused(f"the result has more than {most} bytes")
+            out.append(json.loads(row))
+        return out
+
+    return limited(df.sparkSession, rows, seconds)

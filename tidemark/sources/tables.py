@@ -164,8 +164,7 @@ class Catalog:
         self.spark, self.files = spark, Files(spark, root)
 
     def store(self, definition: Definition) -> None:
-        self.files.drop(f"catalog/{definition.name}.json")
-        self.files.create(f"catalog/{definition.name}.json", definition.to_dict())
+        self.files.replace(f"catalog/{definition.name}.json", definition.to_dict())
 
     def define(self, definition: Definition | dict, mode: str = "create") -> Table:
         """mode: create, exist_ok (the same shape may be there) or overwrite (drop, then create)."""
