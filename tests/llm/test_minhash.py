@@ -3,7 +3,7 @@ import random
 from tidemark.llm import minhash, queries
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """doc_id -> (n_shingles, component_id) by comparing all pairs."""
     import re
 
@@ -29,7 +29,7 @@ def brute(rows):
                 if a < b and (a, b) not in seen:
                     seen.add((a, b))
                     k = len(sets[a] & sets[b])
-                    if 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
+                    if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
                         x, y = sorted((root(a), root(b)))
                         parent[y] = x
     return {i: (len(s), root(i)) for i, s in sets.items()}

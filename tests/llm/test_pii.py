@@ -61,3 +61,20 @@ def test_context_finds_unseen_identifiers(spark):
     rows += [(100, "she wrote contact u77#mail-example urgently then"), (101, "the bus number42x left")]
     got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] == "context:18:34" and got[101] == ""
+
+
+def test_context_at_bounds_beside_numbers_and_after_blanks(spark):
+    rows = [(i, f"the text says contact u{i}@mail.example.com urgently ok") for i in range(40)]
+    mark = "u77#mail-example"
+    texts = [f"she wrote contact {mark}", f"she wrote 12 {mark} urgently", f"she wrote contact{' ' * 70}{mark} urgently", f"{mark} urgently", f"see contact {'w' * 90} 5 {mark} urgently now"]
+    rows += [(100 + i, t) for i, t in enumerate(texts)] + [(200, "the bus number42x left"), (201, "number42x"), (202, "it left 12 times")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[100 + i] == f"context:{t.index(mark)}:{t.index(mark) + len(mark)}", t
+    assert got[200] == got[201] == got[202] == ""
+
+
+def test_spaced_seeds_induce_patterns(spark):
+    rows = [(i, f"please dial +1 (017) 555-{1000 + i} before noon") for i in range(40)] + [(100, "please dial x555-0199 before noon"), (101, "please dial ann@desk before noon")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "context:12:21" and got[101] == "context:12:20" and got[0] == "phone:12:29"

@@ -25,7 +25,7 @@ def test_pipeline(spark, sf):
     assert all(list(r) == names for k in list(made)[:-1] for r in made[k])
     verdict = {r.doc_id: r.kept for r in queries.QUERIES["op9_quality"](spark, sf).collect()}
     assert {r["doc_id"] for r in made["quality"]} == {i for i, k in verdict.items() if k}
-    want = test_minhash.brute([(r["doc_id"], r["text"]) for r in made["quality"]])
+    want = test_minhash.brute([(r["doc_id"], r["text"]) for r in made["quality"]], corpus_pipeline.PERCENT)
     assert sorted(r["doc_id"] for r in made["near_duplicates"]) == sorted({c for _, c in want.values()})
     assert len(made["secrets"]) == len(made["near_duplicates"])
     assert all(not test_secrets.base(r["text"]) and r["n_chars"] == len(r["text"]) for r in made["secrets"])
@@ -41,10 +41,15 @@ def test_pipeline(spark, sf):
 
 
 def test_edge_rows(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, tk long, size int"
-    rows = [(1, "a b c d e f", None, "s", 11, 0, 0), (1, "a b c d e f", None, "s", 11, 0, 0), (None, None, "en", None, 0, 0, 0), (None, "", "en", None, 0, 0, 0), (None, "x y", None, "t", 3, 0, 0), (None, "p q", None, "t", 3, 0, 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tk long, size int, _key int, _id int, _tk int, `a.b` int, _c0 int"
+    rows = [(1, "a b c d e f", None, "s", 11), (1, "a b c d e f", None, "s", 11), (None, None, "en", None, 0), (None, "", "en", None, 0), (None, "x y", None, "t", 3), (None, "p q", None, "t", 3)]
+    rows = [(*r, 0, 0, 1, 2, 3, 4, 5) for r in rows]
     spark.createDataFrame([(9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and all(tuple(r)[5:] == (0, 0, 1, 2, 3, 4, 5) for r in got.collect()), name
     assert corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).count() == 5
     for df in (docs, docs.limit(0)):
         df.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")

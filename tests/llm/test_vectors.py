@@ -64,3 +64,16 @@ def test_bounds_leave_groups_out():
     asked = centres + rng.normal(size=centres.shape)
     assert summary.first(asked, 10).sum(1).tolist() == [1] * 16
     assert (summary.bounds(asked) >= (asked @ centres.T)).all()
+
+
+def test_huge_vectors_end():
+    """Sums of squares beyond a double: distances are infinite, ties go to the smaller id, and the search ends."""
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(40, 4))
+    data[7] = 1e308
+    ids = np.arange(40)
+    with np.errstate(over="ignore"):
+        q, x, s = ann.search(data, ids, data[[0, 7]], ids[[0, 7]], 10)
+    assert q.count(0) == 10 and q.count(7) == 10 and 7 not in x[:10]
+    assert x[:10] == sorted(range(1, 40), key=lambda i: ((data[i] - data[0]) ** 2).sum() if i != 7 else np.inf)[:10]
+    assert x[10:] == list(range(7)) + [8, 9, 10] and np.isinf(s[10:]).all()

@@ -200,6 +200,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     final = scratch.table(final)
     least = scratch.table(final.groupBy("label").agg(F.min("least").alias("component_id")))
     final = scratch.table(final.join(least, "label").select("fp", "component_id", F.col("label").alias("group")))
+    scratch.clear(found, final)
     out = found.select("doc_id", "tk", "n_shingles", "fp").join(final, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "tk", "n_shingles", component.alias("component_id"), "group").withColumn("kept", F.expr("doc_id <=> component_id"))

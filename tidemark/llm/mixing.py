@@ -54,7 +54,7 @@ def plan(df: DataFrame) -> DataFrame:
 
 def _plan(df: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """The same, with the carried columns as _0, _1, ... in place of doc_id."""
-    held = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+    held = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)]
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     digits = max(1, math.ceil(math.log(max(1, df.count() / GROUP), 16)))
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))

@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions only.
 
-Seeds are matches of four patterns (email, ip, card, phone). Every token that holds a digit is an instance; the words
-left and right of it are lexical patterns. Scores pass over the graph of patterns and instances: a pattern is as good
-as its instances on average, less what few instances say; an instance is found if any of its patterns holds. Seeds
-stay at 1. After some rounds the instances that at least two good patterns support give further spans, kind "context".
+Seeds are matches of four patterns (email, ip, card, phone), whole, with the blanks that they hold. Instances are the
+seeds and all other tokens that hold a digit or an @; the words left and right of an instance, the bounds of the text among
+them, are lexical patterns, alone and together. Digits of a word count as alike, and so do seeds. Scores pass over the graph
+of patterns and instances: a pattern is as good as its instances on average, less what few instances say; an instance is
+found if any of its patterns holds. Seeds stay at 1. After some rounds the instances that good patterns support, and not
+fewer of these than of others, give further spans, kind "context". Identifiers without a digit and an @ aren't looked for.
 
 Defined results: a null text counts as empty; every row in gives a row out, repeated rows and null ids included; other
 columns play no part. Offsets count code points, ends exclusive. Patterns and instances are aggregated before each join,
@@ -27,11 +29,14 @@ KINDS = {
 }
 #: What a text must hold for a kind's pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: What seeds are masked by, and what it gives way to in a text that has it.
+MASK, SPARE = "\uE000", "_"
+TOKEN = rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@{MASK}]*+[0-9@{MASK}][^\x20\x09-\x0D]*+"
+#: Words for the bounds of a text; no word holds a blank.
+BEGIN, END = " begin", " end"
 FOUND = "context"
 #: Rounds of scoring, and what a pattern and an instance must reach.
-ROUNDS, GOOD_PATTERN, GOOD_INSTANCE, SUPPORT = 3, 0.8, 0.9, 2
-NEAR = 64
+ROUNDS, GOOD_PATTERN, GOOD_INSTANCE = 3, 0.8, 0.9
 
 
 def valid(kind: str, value):
@@ -64,47 +69,74 @@ def base_spans(df: DataFrame) -> DataFrame:
     return df.withColumn("base", F.array_sort(F.concat(*KINDS)))
 
 
-def instances(df: DataFrame) -> DataFrame:
-    """doc_id, tk, start, end, value, seed, left, right: each token with a digit. From rows of base_spans."""
-    df = df.withColumn("m", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).where(F.size("m") > 0)
-    df = df.withColumn("pieces", F.split("text", TOKEN, -1)).withColumn("at", located(F.col("pieces"), F.col("m")))
-    last = lambda p: F.lower(F.regexp_extract(F.right(p, F.lit(NEAR)), r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1))
-    first = lambda p: F.lower(F.regexp_extract(F.left(p, F.lit(NEAR)), r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1))
-    each = F.transform("m", lambda m, i: F.struct(F.element_at("at", i + 1).alias("start"), m.alias("value"), last(F.element_at("pieces", i + 1)).alias("left"), first(F.element_at("pieces", i + 2)).alias("right")))
-    df = df.select("doc_id", "tk", "base", F.explode(each).alias("t"))
-    end = F.col("t.start") + F.length("t.value")
-    seed = F.exists("base", lambda b: (b.start < end) & (b.end > F.col("t.start")))
-    return df.select("doc_id", "tk", "t.start", end.alias("end"), "t.value", seed.alias("seed"), "t.left", "t.right")
+def cover(kind: str):
+    return lambda m: F.when(valid(kind, m), F.rpad(F.lit(MASK), F.length(m), F.lit(MASK))).otherwise(m)
+
+
+def masked(df: DataFrame) -> DataFrame:
+    """Rows of base_spans with hidden: the text, each seed as so many MASK characters."""
+    df = df.withColumn("hidden", F.translate("text", MASK, SPARE))
+    for kind, pattern in KINDS.items():
+        found = F.regexp_extract_all("hidden", F.lit(pattern), F.lit(0))
+        covered = F.transform(found, cover(kind))
+        woven = F.array_join(F.flatten(F.zip_with(F.split("hidden", pattern, -1), covered, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+        df = df.withColumn("hidden", F.when(F.size(kind) > 0, woven).otherwise(F.col("hidden")))
+    return df
+
+
+def tokens_of(df: DataFrame) -> DataFrame:
+    """df with tokens: array of (start, end, value, seed, left, right), each instance. From rows of base_spans."""
+    df = masked(df).withColumn("m", F.regexp_extract_all("hidden", F.lit(TOKEN), F.lit(0)))
+    df = df.withColumn("pieces", F.when(F.size("m") > 0, F.split("hidden", TOKEN, -1)))
+    df = df.withColumn("at", F.when(F.size("m") > 0, located(F.col("pieces"), F.col("m"))))
+    df = df.withColumn("pieces", F.transform("pieces", lambda p: F.trim(F.translate(p, "\t\n\x0b\x0c\r", "     "))))
+    shape = lambda w: F.regexp_replace(F.regexp_replace(F.lower(w), "[0-9]", "#"), f"{MASK}+", MASK)
+    beside = lambda i, outer: F.when(i.between(0, F.size("m") - 1), F.get("m", i)).otherwise(F.lit(outer))
+
+    def one(m, i):
+        before, after = F.get("pieces", i), F.get("pieces", i + 1)
+        left = F.when(before == "", beside(i - 1, BEGIN)).otherwise(F.substring_index(before, " ", -1))
+        right = F.when(after == "", beside(i + 1, END)).otherwise(F.substring_index(after, " ", 1))
+        start = F.get("at", i)
+        seed = F.contains(m, F.lit(MASK))
+        value = F.when(seed, F.concat_ws(":", F.lit(MASK), F.col("tk").cast("string"), start.cast("string"))).otherwise(m)
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), value.alias("value"), seed.alias("seed"), shape(left).alias("left"), shape(right).alias("right"))
+
+    return df.withColumn("tokens", F.transform("m", one)).drop("hidden", "m", "pieces", "at")
 
 
 def good_instances(tokens: DataFrame, scratch: Scratch) -> DataFrame:
     """Values, none of them seeds, that the graph of patterns and instances scores well."""
     patterns = F.array(*[F.concat(F.lit(f"{side}:"), F.col(side)) for side in ("left", "right")], F.concat(F.lit("both:"), "left", F.lit(" "), "right"))
-    edges = tokens.where("left <> '' and right <> ''").select("value", "seed", F.explode(patterns).alias("pattern"))
+    edges = tokens.select("value", "seed", F.explode(patterns).alias("pattern"))
     edges = scratch.table(edges.groupBy("value", "pattern").agg(F.max(F.col("seed").cast("double")).alias("seed")))
     scored = edges.select("value", "pattern", "seed", F.col("seed").alias("score"))
     for _ in range(ROUNDS):
         n = F.count("*")
         by_pattern = scratch.table(scored.groupBy("pattern").agg((F.sum("score") / n * (1 - 1 / (1 + n))).alias("p"), n.alias("n")).where(F.col("n") > 1))
         linked = edges.join(by_pattern, "pattern")
-        good = (F.col("p") >= GOOD_PATTERN).cast("int")
-        by_value = scratch.table(linked.groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("score"), F.sum(good).alias("support"), F.max("seed").alias("s")))
-        scored = edges.join(by_value.select("value", "score"), "value", "left").select("value", "pattern", "seed", F.greatest("seed", F.coalesce("score", F.lit(0.0))).alias("score"))
-    return scratch.table(by_value.where((F.col("s") == 0) & (F.col("score") >= GOOD_INSTANCE) & (F.col("support") >= SUPPORT)).select("value"))
+        good = F.col("p") >= GOOD_PATTERN
+        holds = F.when(good, F.log(1 - F.least("p", F.lit(0.999)))).otherwise(0.0)
+        by_value = scratch.table(linked.groupBy("value").agg((1 - F.exp(F.sum(holds))).alias("score"), F.sum(good.cast("int")).alias("support"), n.alias("linked"), F.max("seed").alias("s")))
+        supported = F.when(2 * F.col("support") >= F.col("linked"), F.col("score")).otherwise(0.0)
+        scored = edges.join(by_value.select("value", supported.alias("score")), "value", "left").select("value", "pattern", "seed", F.greatest("seed", F.coalesce("score", F.lit(0.0))).alias("score"))
+    return scratch.table(by_value.where((F.col("s") == 0) & (F.col("score") >= GOOD_INSTANCE) & (2 * F.col("support") >= F.col("linked"))).select("value"))
 
 
 def find(df: DataFrame) -> DataFrame:
     """doc_id, a count for each base kind, base_sha256 and spans, for each row of df (doc_id, text)."""
     scratch = Scratch(df.sparkSession)
-    own = base_spans(df)
-    tokens = scratch.table(instances(own))
+    own = tokens_of(base_spans(df))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    narrow = F.transform("base", lambda s: s.dropFields("value"))
+    own = scratch.table(own.select("doc_id", "tk", *counts, narrow.alias("base"), "tokens"))  # texts are searched once
+    tokens = own.where(F.size("tokens") > 0).select("doc_id", "tk", F.explode("tokens").alias("t")).select("doc_id", "tk", "t.*")
     found = good_instances(tokens, scratch)
     extra = tokens.where(~F.col("seed")).join(found, "value", "left_semi")
-    extra = scratch.table(extra.groupBy(F.col("doc_id").alias("id"), F.col("tk").alias("key")).agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", "value")).alias("extra")))
+    extra = scratch.table(extra.groupBy(F.col("doc_id").alias("id"), F.col("tk").alias("key")).agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("k"), "end")).alias("extra")))
     names = F.array(*map(F.lit, [*KINDS, FOUND]))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.k + 1), s.start.cast("string"), s.end.cast("string"))), ",")
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    rows = own.select("doc_id", "tk", *counts, "base", F.sha2(said(F.col("base")).cast("binary"), 256).alias("base_sha256"))
+    rows = own.select("doc_id", "tk", *(f"n_{k}" for k in KINDS), "base", F.sha2(said(F.col("base")).cast("binary"), 256).alias("base_sha256"))
     rows = rows.join(extra, F.expr("doc_id <=> id and tk = key"), "left")
     every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(extra.schema["extra"].dataType))))
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", said(every).alias("spans"))

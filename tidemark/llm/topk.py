@@ -147,8 +147,12 @@ def top(df: DataFrame, k: int = K) -> DataFrame:
 
     def cells(queries: DataFrame, second: bool) -> DataFrame:
         sent = queries.mapInArrow(route(second), "query_id long, v array<double>, dim int, pivot int")
+        # data of groups to which no query goes needn't move; groups are at most PIVOTS, and one for each length without a pivot
+        sent = scratch.table(sent)
+        groups = sent.select("dim", "pivot").distinct()
+        mine = data.join(F.broadcast(groups), ["dim", "pivot"], "left_semi")
         sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
-        return vectors.grid(data, sent, blocks, ["dim", "pivot", "chunk"], lambda a, b: solve(a, b, k), "long")
+        return vectors.grid(mine, sent, blocks, ["dim", "pivot", "chunk"], lambda a, b: solve(a, b, k), "long")
 
     one = scratch.table(vectors.best(cells(asked, False), k, largest=True))
     least = one.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))
