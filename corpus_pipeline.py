@@ -15,14 +15,22 @@ from tidemark.llm.common import Scratch, load
 from tidemark.llm.queries import tokenizer_path
 
 
+#: Shingles in both of all shingles in either, of 100, from which on two documents are near duplicates.
+PERCENT = 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier keeps."""
     return quality.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component, with its smallest id; rows without words link with nothing and all stay."""
-    found = minhash.near_duplicates(docs)
+    """One row of each component of texts at least 0.8 alike, with its smallest id; rows without words link with nothing and
+    all stay."""
+    names = docs.columns
+    # numbered, so that no column of the documents can clash with those that are added here
+    docs = docs.select([F.col(f"`{c}`").alias({"doc_id": "doc_id", "text": "text"}.get(c, f"_c{i}")) for i, c in enumerate(names)])
+    found = minhash.near_duplicates(docs, PERCENT)
     one = found.where("kept and group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "tk")).alias("row")).select("row.doc_id", "row.tk")
     empty = found.where("group is null").select("doc_id", "tk").distinct()
     kept = Scratch(spark).table(one.union(empty).toDF("_id", "_tk"))
@@ -36,7 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not repeated.isEmpty():
         again = rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_key"])
         rows = rows.join(repeated, same, "left_anti").unionByName(again)
-    return rows.drop("_key")
+    return rows.drop("_key").toDF(*names)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to the documents of a folder."""
-    docs = load(spark, sf_dir, "documents")
+    docs, written = load(spark, sf_dir, "documents"), Scratch(spark)
     for n, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES):
-            docs = Scratch(spark).table(docs)
+            docs = written.table(docs)
+            written.clear(docs)
     return docs
