@@ -19,6 +19,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .automaton import Automaton, parse, reverse
 from .common import blocks, texts
@@ -132,14 +133,17 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE))
 
 def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The same rows and columns; each secret in text gives way to ``[kind]``, and n_chars follows. Null texts stay null."""
-    schema = df.schema
+    names = df.columns
+    own, size_of = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    # numbered, since Arrow functions look columns up by name, where a dot has a meaning
+    df = df.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            data = as_bytes(texts(batch))
+        for batch in blocks(batches, f"_{own}"):
+            data = as_bytes(texts(batch, f"_{own}"))
             found = find(data, rules)
             if found:
-                text = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                text = batch.column(own).to_pylist()
                 for doc, spans in found.items():
                     parts, last = [], 0
                     for a, r, b in spans:
@@ -147,14 +151,14 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                             parts += [data[doc][last:a], f"[{rules[r].kind}]".encode()]
                         last = max(last, b)
                     text[doc] = b"".join([*parts, data[doc][last:]]).decode("utf-8")
-                columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-                columns["text"] = pa.array(text, batch.schema.field("text").type)
-                if "n_chars" in columns:
-                    size = columns["n_chars"].to_pylist()
+                columns = list(batch.columns)
+                columns[own] = pa.array(text, columns[own].type)
+                if size_of is not None:
+                    size = columns[size_of].to_pylist()
                     for doc in found:
                         size[doc] = len(text[doc])
-                    columns["n_chars"] = pa.array(size, batch.schema.field("n_chars").type)
-                batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                    columns[size_of] = pa.array(size, columns[size_of].type)
+                batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
             yield batch
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, df.schema).toDF(*names)
