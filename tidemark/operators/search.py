@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..errors import Refused
 from ..functions.vector import DISTANCES
 from ..schema import HIDDEN, SEQ, identity, visible
-from ..sources.tables import Table
-from .text import scored
+from ..sources.indexes import LENGTH, hits, lengths
+from ..sources.tables import Table, newest
+from .text import bm25, terms_of
 
 NO_LIMIT = (1 << 63) // 2
 
@@ -26,9 +28,9 @@ class Search:
     vector_column: str | None = None
     distance_type: str | None = None
     full_text: str | dict | None = None
-    nprobes: int = 20  # taken and without effect: vector scans are exact
-    refine_factor: int = 0
-    ef: int | None = None
+    nprobes: int = 20  # cells to read, where the column's index has cells
+    refine_factor: int = 0  # taken and without effect: distances are of the vectors as they are
+    ef: int | None = None  # likewise: there is no graph
     extra: dict = field(default_factory=dict)
 
     @classmethod
@@ -76,11 +78,76 @@ def nearest(df: DataFrame, column: str, vector: list[float], metric: str, k: int
     return df.withColumn("_distance", distance).where("_distance is not null").orderBy("_distance", *ties).limit(k)
 
 
+def attached(df: DataFrame, found: DataFrame, keys: list[str], order: list, k: int | None, filtered: bool) -> DataFrame:
+    """Current rows of df with what was found for them, the first k in order.
+
+    Without a filter the choice is made among what was found, which holds current rows only, and just those rows are read.
+    """
+    if k is not None and not filtered:
+        found = found.orderBy(*order).limit(k)
+    quoted = [f"`{c}`" for c in keys]
+    few = df.join(found.select(*quoted), keys, "left_semi") if k is not None and not filtered else df
+    out = few.join(found, keys).orderBy(*order)
+    return out if k is None else out.limit(k)
+
+
+def live(found: DataFrame, manifest: dict, current: DataFrame, keys: list[str]) -> DataFrame:
+    """What was found of rows that no newer row supersedes."""
+    whole = manifest["generations"]
+    if len(whole) == 1 and whole[0]["unique"]:
+        return found
+    return found.join(current.select(*[f"`{c}`" for c in keys]), keys, "left_semi")
+
+
+def by_vector(table: Table, df: DataFrame, r: Search, manifest: dict, k: int) -> DataFrame:
+    """The k nearest rows of df: of the cells that are read, where there are any; of all cells if those hold fewer than k."""
+    column, width = vector_column(table, r.vector_column)
+    if len(r.vector) != width:
+        raise Refused(f"{column} has {width} components, the query {len(r.vector)}")
+    metric, ties = metric_of(table, column, r.distance_type), identity(table.definition)
+    read = table.probe(column, r.vector, r.nprobes, manifest) if k else None
+    if read is None:
+        return nearest(df, column, r.vector, metric, k, ties)
+    keys, query = [*ties, SEQ], F.array(*[F.lit(float(x)) for x in r.vector])
+
+    def of(cells: DataFrame) -> DataFrame:
+        distance = DISTANCES[metric](F.col(f"`{column}`"), query)
+        found = cells.withColumn("_distance", distance).where("_distance is not null").drop(column)
+        return attached(df, live(found, manifest, table.frame(manifest), keys), keys, ["_distance", *[f"`{c}`" for c in ties]], k, bool(r.filter))
+
+    made, whole = of(read[0]), read[1]
+    if not whole and made.count() < k:
+        made = of(table.probe(column, r.vector, NO_LIMIT, manifest)[0])
+    return made
+
+
+def by_text(table: Table, df: DataFrame, r: Search, manifest: dict, columns: list[str], query: str, k: int | None) -> DataFrame:
+    """Rows of df that hold any term in any of the columns, best ``_score`` first, from the stored postings.
+
+    Scores are BM25 with the figures of all current rows, whatever the filter.
+    """
+    ties, terms = identity(table.definition), terms_of(query)
+    keys, parts = [*ties, SEQ], []
+    for c in columns if terms else []:
+        stored = table.postings(c, manifest)
+        if stored is not None:
+            every = lengths(stored).select(LENGTH, *[f"`{x}`" for x in keys])
+            single = len(manifest["generations"]) == 1 and manifest["generations"][0]["unique"]
+            current = every if single else newest(every, ties)
+            parts.append(bm25(live(hits(stored, terms, ties), manifest, current, keys), current, keys))
+    if not parts:
+        return df.withColumn("_score", F.lit(0.0)).limit(0)
+    scores = reduce(DataFrame.unionByName, parts)
+    scores = scores.groupBy(*[f"`{c}`" for c in keys]).agg(F.sum("_score").alias("_score"))
+    return attached(df, scores, keys, [F.desc("_score"), *[f"`{c}`" for c in ties]], k, bool(r.filter))
+
+
 def search(table: Table, request: Search | dict) -> DataFrame:
     r = request if isinstance(request, Search) else Search.read(request)
     if r.vector is not None and r.full_text is not None:
         raise Refused("a request has a vector or a text, not both")
-    df, ties = table.frame(), identity(table.definition)
+    manifest = table.manifest()
+    df, ties = table.frame(manifest), identity(table.definition)
     for c in r.columns or []:
         if c not in df.columns or c in HIDDEN:
             raise Refused(f"no column {c}")
@@ -88,19 +155,17 @@ def search(table: Table, request: Search | dict) -> DataFrame:
         df = df.where(r.filter)  # before the top-k, so k rows that pass are found if there are
     more = []
     if r.vector is not None:
-        column, width = vector_column(table, r.vector_column)
-        if len(r.vector) != width:
-            raise Refused(f"{column} has {width} components, the query {len(r.vector)}")
         k = 10 if r.k is None else r.k
-        df, more = nearest(df, column, r.vector, metric_of(table, column, r.distance_type), k + r.offset, ties), ["_distance"]
+        df, more = by_vector(table, df, r, manifest, k + r.offset), ["_distance"]
         df = df.orderBy("_distance", *ties).offset(r.offset) if r.offset else df
     elif r.full_text is not None:
         asked = {"query": r.full_text} if isinstance(r.full_text, str) else r.full_text
         columns = asked.get("columns") or table.definition.text_indexes
         if not columns or (odd := [c for c in columns if c not in table.definition.text_indexes]):
             raise Refused(f"no text index on {odd if columns else 'any column'}")
-        df, more = scored(df, asked["query"], columns).orderBy(F.desc("_score"), *ties), ["_score"]
-        df = df.offset(r.offset).limit(10 if r.k is None else r.k)
+        k = (10 if r.k is None else r.k) + r.offset
+        df, more = by_text(table, df, r, manifest, columns, asked["query"], k if k < NO_LIMIT else None), ["_score"]
+        df = df.orderBy(F.desc("_score"), *ties).offset(r.offset) if r.offset else df
     elif r.offset or (r.k is not None and r.k < NO_LIMIT):
         df = df.orderBy(SEQ)
         df = df.offset(r.offset) if r.offset else df

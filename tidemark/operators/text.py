@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -19,45 +20,14 @@ def terms_of(query: str) -> list[str]:
     return sorted(set(re.findall(r"\w+", query.lower())))
 
 
-def postings(df: DataFrame, ident: list[str], column: str) -> DataFrame:
-    """term, the id columns, tf and the document's length: what an index holds."""
-    each = df.select(*ident, words(F.col(column)).alias("w")).withColumn("length", F.size("w"))
-    return each.select(*ident, "length", F.explode("w").alias("term")).groupBy("term", *ident).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def term_counts(w: Column, terms: list[str]) -> Column:
-    """How often each term is among the words."""
-    return F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.size(F.filter(w, lambda x: x == t)))
-
-
-def scored(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """Rows that hold any term in any of the columns, with ``_score``, the sum of BM25 over columns.
-
-    One pass computes the corpus's figures, a row whatever its size; another scores rows where they are. Nothing is
-    shuffled but partial counts, and words are never exploded.
-    """
-    terms = terms_of(query)
-    if not terms:
-        return df.withColumn("_score", F.lit(0.0)).limit(0)
-    counted = df
-    for i, c in enumerate(columns):
-        w = words(F.col(f"`{c}`"))
-        counted = counted.withColumn(f"_w{i}", w).withColumn(f"_n{i}", F.size(f"_w{i}"))
-        counted = counted.withColumn(f"_tf{i}", term_counts(F.col(f"_w{i}"), terms)).drop(f"_w{i}")
-    figures = [F.count("*").alias("n")]
-    for i in range(len(columns)):
-        figures.append(F.sum(f"_n{i}").alias(f"total{i}"))
-        figures += [F.sum((F.col(f"_tf{i}")[k] > 0).cast("long")).alias(f"df{i}_{k}") for k in range(len(terms))]
-    known = counted.agg(*figures).first()
-    total = F.lit(0.0)
-    for i in range(len(columns)):
-        mean = max((known[f"total{i}"] or 0) / max(known["n"], 1), 1e-9)
-        for k in range(len(terms)):
-            d = known[f"df{i}_{k}"] or 0
-            weight = F.log(F.lit(1 + (known["n"] - d + 0.5) / (d + 0.5)))
-            tf = F.col(f"_tf{i}")[k].cast("double")
-            total = total + weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"_n{i}") / F.lit(mean)))
-    hit = F.lit(False)
-    for i in range(len(columns)):
-        hit = hit | F.exists(f"_tf{i}", lambda x: x > 0)
-    return counted.where(hit).withColumn("_score", total).drop(*[f"_{p}{i}" for i in range(len(columns)) for p in ("n", "tf")])
+def bm25(found: DataFrame, every: DataFrame, ident: list[str]) -> DataFrame:
+    """ident and ``_score`` of the rows that hold a term, from their postings and the length of every row."""
+    known = every.agg(F.count("*").alias("n"), F.sum("_tm_length").alias("total")).first()
+    counted = {r["_tm_term"]: r["count"] for r in found.groupBy("_tm_term").count().collect()}  # a row per asked term
+    mean = max((known["total"] or 0) / max(known["n"], 1), 1e-9)
+    weight = F.lit(0.0)
+    for term, d in counted.items():
+        weight = F.when(F.col("_tm_term") == term, F.lit(math.log(1 + (known["n"] - d + 0.5) / (d + 0.5)))).otherwise(weight)
+    tf = F.col("_tm_tf").cast("double")
+    score = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_tm_length") / F.lit(mean)))
+    return found.groupBy(*[f"`{c}`" for c in ident]).agg(F.sum(score).alias("_score"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Conflict, Missing, Refused
 from ..schema import KEY, SEQ, Definition, check_name, conform, content_key, identity, visible
+from . import indexes
 from .files import Files
 
 #: From so many generations on, an append compacts.
@@ -46,11 +47,20 @@ class Table:
         return made
 
     # reading
-    def _read(self, generations: list[dict]) -> DataFrame:
+    def _rows(self, generations: list[dict]) -> DataFrame:
+        """All rows of the generations, superseded ones too."""
         schema = self.definition.schema.add(KEY, "string").add(SEQ, "long") if not self.definition.primary_key else self.definition.schema.add(SEQ, "long")
         if not generations:
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(*[f"{self.files.root}/{self.home}/{g['path']}" for g in generations])
+        return self.spark.read.schema(schema).parquet(*[self._at(g["path"]) for g in generations])
+
+    def _at(self, path: str) -> str:
+        return f"{self.files.root}/{self.home}/{path}"
+
+    def _read(self, generations: list[dict]) -> DataFrame:
+        df = self._rows(generations)
+        if not generations:
+            return df
         return df if len(generations) == 1 and generations[0]["unique"] else newest(df, identity(self.definition))
 
     def frame(self, manifest: dict | None = None) -> DataFrame:
@@ -96,7 +106,7 @@ class Table:
         if not n:
             self.files.drop(f"{self.home}/{path}")
             return 0
-        made = {"path": path, "rows": n, "min_seq": low, "max_seq": high, "unique": False}
+        made = self._indexed({"path": path, "rows": n, "min_seq": low, "max_seq": high, "unique": False}, base)
         try:
             base = self._commit(base, generations=[*base["generations"], made], high=high)
         except Conflict:
@@ -119,15 +129,16 @@ class Table:
         whole = f"{self.files.root}/{self.home}/{path}"
         rows.write.parquet(whole)
         n, low, high = self.spark.read.schema(rows.schema).parquet(whole).agg(F.count("*"), F.min(SEQ), F.max(SEQ)).first()
-        self._commit(base, generations=[{"path": path, "rows": n, "min_seq": low, "max_seq": high, "unique": True}], version=base["version"])
+        made = self._indexed({"path": path, "rows": n, "min_seq": low, "max_seq": high, "unique": True}, base)
+        self._commit(base, generations=[made], version=base["version"])
         return True
 
     def vacuum(self, older_than_s: float = 120.0) -> int:
         """Delete generations that no current manifest names and that are old enough for no reader to need them."""
-        live = {g["path"] for g in self.manifest()["generations"]}
+        live = {path for g in self.manifest()["generations"] for path in (g["path"], *g.get("text", {}).values(), *(x["path"] for x in g.get("cells", {}).values()))}
         gone = 0
         for name in self.files.names(self.home):
-            if name.startswith("g-") and name not in live:
+            if name.startswith(("g-", "x-")) and name not in live:
                 at = self.files.path(f"{self.home}/{name}")
                 if time.time() - self.files.fs.getFileStatus(at).getModificationTime() / 1000 >= older_than_s:
                     self.files.drop(f"{self.home}/{name}")
@@ -138,23 +149,79 @@ class Table:
         return self.frame().persist()
 
     # indexes
-    def index_vector(self, column: str, metric: str) -> None:
-        """Searches on the column use this metric from now on. Scans are exact, so no data is rewritten."""
+    def _put(self, df: DataFrame) -> str:
+        path = f"x-{uuid.uuid4().hex}"
+        df.write.parquet(self._at(path))
+        return path
+
+    def _indexed(self, generation: dict, base: dict) -> dict:
+        """The generation with what the table's indexes hold of it; what is there already stays."""
+        ident = [*identity(self.definition), SEQ]
+        text = dict(generation.get("text", {}))
+        for c in self.definition.text_indexes:
+            if c not in text:
+                text[c] = self._put(indexes.postings(self._rows([generation]), ident, c))
+        held = dict(generation.get("cells", {}))
+        for c, spec in base.get("centres", {}).items():
+            if held.get(c, {}).get("of") != spec["name"]:
+                known = self.files.read(f"{self.home}/{spec['name']}")
+                held[c] = {"of": spec["name"], "path": self._put(indexes.cells(self._rows([generation]), ident, c, known["metric"], known["centres"]))}
+        return {**generation, "text": text, "cells": held}
+
+    def index_vector(self, column: str, metric: str, cells: int | None = None) -> None:
+        """Searches on the column use this metric from now on. cells: also sort the vectors into that many cells (0: about the
+        root of the number of rows), of which a search reads its ``nprobes`` nearest; without, searches are exact. A column
+        that has cells gets new ones, of the metric, for all generations before this returns."""
         if not next((c.width for c in self.definition.columns if c.name == column), None):
             raise Refused(f"{column} is no vector column")
         self.definition.vector_indexes[column] = metric
-        self.catalog.store(Definition.from_dict(self.definition.to_dict()))
+        checked = Definition.from_dict(self.definition.to_dict())
+        base = self.manifest()
+        own = base.get("centres", {}).get(column)
+        if cells is not None or own:
+            cells = own["cells"] if cells is None else cells
+            rows = sum(g["rows"] for g in base["generations"])
+            name = f"centres-{uuid.uuid4().hex}.json"
+            fitted = indexes.fit_centres(self._rows(base["generations"]), column, metric, cells or None, rows)
+            self.files.create(f"{self.home}/{name}", {"metric": metric, "centres": fitted})
+            spec = {**base, "centres": {**base.get("centres", {}), column: {"name": name, "cells": cells}}}
+            self._commit(base, generations=[self._indexed(g, spec) for g in base["generations"]], centres=spec["centres"], version=base["version"])
+        self.catalog.store(checked)
 
     def index_text(self, column: str) -> None:
+        """Write the column's postings for all generations; later ones get theirs as they are written."""
         kinds = {f.name: f.dataType.simpleString() for f in self.definition.schema}
         if kinds.get(column) != "string":
             raise Refused(f"{column} is no text column")
         if column not in self.definition.text_indexes:
             self.definition.text_indexes.append(column)
+            base = self.manifest()
+            if base["generations"]:
+                self._commit(base, generations=[self._indexed(g, base) for g in base["generations"]], version=base["version"])
             self.catalog.store(self.definition)
 
+    def postings(self, column: str, manifest: dict) -> DataFrame | None:
+        """The stored postings of a snapshot; those of a generation that another writer added without are made as they are read."""
+        stored = [g["text"][column] for g in manifest["generations"] if column in g.get("text", {})]
+        rest = [g for g in manifest["generations"] if column not in g.get("text", {})]
+        parts = [self.spark.read.parquet(*map(self._at, stored))] if stored else []
+        parts += [indexes.postings(self._rows(rest), [*identity(self.definition), SEQ], column)] if rest else []
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else None
+
+    def probe(self, column: str, vector: list[float], nprobes: int, manifest: dict) -> tuple[DataFrame, bool] | None:
+        """Identity and vector of the rows in the nearest cells, and whether those are all; None without cells for the whole snapshot."""
+        spec = manifest.get("centres", {}).get(column)
+        held = [g.get("cells", {}).get(column, {}) for g in manifest["generations"]]
+        if not spec or not held or any(h.get("of") != spec["name"] for h in held):
+            return None
+        known = self.files.read(f"{self.home}/{spec['name']}")
+        asked = indexes.probed(known["centres"], vector, known["metric"], nprobes)
+        df = self.spark.read.parquet(*[self._at(h["path"]) for h in held])
+        return df.where(F.col(indexes.CELL).isin(asked)).drop(indexes.CELL), len(asked) > len(known["centres"])
+
     def indexes(self) -> list[dict]:
-        return [{"column": c, "kind": "vector", "metric": m} for c, m in self.definition.vector_indexes.items()] + [{"column": c, "kind": "text"} for c in self.definition.text_indexes]
+        cells = self.manifest().get("centres", {})
+        return [{"column": c, "kind": "vector", "metric": m, "cells": c in cells} for c, m in self.definition.vector_indexes.items()] + [{"column": c, "kind": "text"} for c in self.definition.text_indexes]
 
 
 class Catalog:
