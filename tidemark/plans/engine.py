@@ -15,6 +15,7 @@ from ..functions.vector import DISTANCES
 from ..ingest import literals
 from ..ingest.engine import Ingest
 from ..ingest.prose import prose
+from ..ingest.rules import profile
 from ..operators.search import search
 from ..operators.text import words
 from ..sources.files import scratch_root
@@ -150,6 +151,28 @@ for _metric in DISTANCES:
 knn("l2", "label = 1")
 
 
+@query(ORACLES["knn_l2"])
+def knn_ivf(spark, sf):
+    """By the vector cells, with a later generation that supersedes half of the rows, and all cells read, so that it is exact."""
+    rows = load(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    table = catalog(spark).create("embeddings", rows.withColumn("embedding", F.when(F.col("vec_id") % 2 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))), ["vec_id"], widths={"embedding": 64})
+    table.index_vector("embedding", "l2", cells=0)
+    table.append(rows.where("vec_id % 2 = 0"))
+    found = search(table, {"vector": first_vector(spark, sf), "k": 10, "columns": ["vec_id"], "nprobes": 1024})
+    return found.select("vec_id", (F.round("_distance", 4) + 0.0).alias("distance"))
+
+
+@query("""SELECT query_id, vec_id, round(d, 4) + 0.0 AS distance FROM (SELECT q.vec_id AS query_id, e.vec_id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2 AS d,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2, e.vec_id) AS turn
+FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE turn = 1""")
+def knn_join(spark, sf):
+    """The nearest row of the same label for each query, the rows whose id is divisible by 20; the best so far is all that an aggregate keeps."""
+    rows = vectors(spark, sf).snapshot()
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    pairs = asked.join(rows, "label").where("vec_id <> query_id").select("query_id", F.struct(DISTANCES["l2"](F.col("embedding"), F.col("q")).alias("d"), "vec_id").alias("near"))
+    return pairs.groupBy("query_id").agg(F.min("near").alias("near")).select("query_id", "near.vec_id", (F.round("near.d", 4) + 0.0).alias("distance"))
+
+
 @query(f"SELECT vec_id FROM embeddings, {_V} WHERE vec_id <> 0 ORDER BY {_DISTANCE['cosine']}, vec_id LIMIT 10")
 def sql_cosine_distance(spark, sf):
     own = vectors(spark, sf).catalog
@@ -192,6 +215,17 @@ def fts_bm25_topk(spark, sf):
     return found.select("doc_id", F.round("_score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+@query(ORACLES["fts_bm25_topk"])
+def fts_indexed(spark, sf):
+    """The same over two generations, of which the later supersedes every other text."""
+    rows = load(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    own = catalog(spark)
+    own.create("documents", rows.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.lit("worthless, worthless")).otherwise(F.col("text"))), ["doc_id"]).index_text("text")
+    own.table("documents").append(rows.where("doc_id % 2 = 0"))
+    found = search(own.table("documents"), {"full_text": "that worthless", "columns": ["doc_id"], "k": 60})
+    return found.select("doc_id", F.round("_score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
 @query(f"SELECT doc_id, list_has_any({_TOKENS}, ['license', 'secret']) AS hit FROM documents")
 def match_terms_extension(spark, sf):
     return load(spark, sf, "documents").select("doc_id", match_terms(F.col("text"), "license secret").alias("hit"))
@@ -261,12 +295,30 @@ def ingest_rebuild(spark, sf):
 LITERALS = ['"02134"', "9007199254740993", '"12.50"', "0.1234567891", "1e3", "1700000000", "true", '"2026-09-23"', "[1, 2]", "null"]
 
 
-@query()
+# Expected rows: by raw value, the kinds it converts to exactly.
+_FITS = {
+    '"02134"': "string json", "9007199254740993": "int64 float64 decimal string json", '"12.50"': "float64 decimal string json", "0.1234567891": "float64 string json", "1e3": "float64 string json",
+    "1700000000": "int64 float64 decimal timestamp_seconds string json", "true": "boolean string json", '"2026-09-23"': "timestamp_text string json", "[1, 2]": "json", "null": "",
+}
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(str((raw, *(k in kinds.split() for k in literals.KINDS))) for raw, kinds in _FITS.items())}) AS t(raw, {', '.join(f'\"{k}\"' for k in literals.KINDS)})")
 def ingest_literal_kinds(spark, sf):
     df = spark.createDataFrame([(raw, f'{{"v": {raw}}}') for raw in LITERALS], "raw string, record string").withColumn("v", literals.fields("record")["v"])
     return df.select("raw", *[literals.fits(k, F.col("v")).alias(k) for k in literals.KINDS])
 
 
+@query("""SELECT field, kind FROM (VALUES ('event_id', 'int64'), ('event_id', 'float64'), ('event_id', 'decimal'), ('event_id', 'string'), ('user_id', 'int64'), ('user_id', 'float64'), ('user_id', 'decimal'), ('user_id', 'string'),
+('event_type', 'string'), ('value', 'float64'), ('value', 'decimal'), ('value', 'string'), ('_props', 'string'), ('mixed', 'string'), ('nested', 'json'), ('none', 'string')) AS t(field, kind) WHERE EXISTS (SELECT 1 FROM events)""")
+def ingest_candidates(spark, sf):
+    """By field, the kinds that all of its values convert to; of values that are all null, string, and with a nested one, json."""
+    key = F.col("event_id")
+    more = [F.when(key % 2 == 0, F.col("event_type")).otherwise(key.cast("string")).alias("mixed"), F.when(key % 2 == 0, F.array(key)).alias("nested"), F.lit(None).cast("string").alias("none")]
+    whole = load(spark, sf, "events").select(F.to_json(F.struct("event_id", "user_id", "event_type", F.col("value").cast("decimal(12,2)").alias("value"), F.col("props").alias("_props"), *more), {"ignoreNullFields": "false"}).alias("record"))
+    facts = profile(whole.select(literals.fields("record").alias("fields")))
+    return spark.createDataFrame([(field, kind) for field, seen in facts.items() for kind in literals.candidates(seen)], "field string, kind string")
+
+
 @query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE AS price FROM orders")
 def ingest_convert_decimal(spark, sf):
     raw = load(spark, sf, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("p"))).alias("record"))
@@ -359,19 +411,22 @@ def view_alert_rows(spark, sf):
 
 
 # schedules and phrases
-@query()
+@query("""SELECT cron, CAST(epoch(due) AS BIGINT) AS next FROM (VALUES ('* * * * *', TIMESTAMP '2026-01-01 00:01:00'), ('*/5 * * * *', TIMESTAMP '2026-01-01 00:05:00'), ('30 9 * * *', TIMESTAMP '2026-01-01 09:30:00'),
+('0 10 * * 1-5', TIMESTAMP '2026-01-01 10:00:00'), ('0,30 * * * *', TIMESTAMP '2026-01-01 00:30:00'), ('0 0 13 * 5', TIMESTAMP '2026-01-02 00:00:00'), ('0 0 30 2 *', NULL), ('0 0 * * 1-7', TIMESTAMP '2026-01-02 00:00:00')) AS t(cron, due)""")
 def schedule_cron_table(spark, sf):
     start = 1_767_225_600
     cases = ("* * * * *", "*/5 * * * *", "30 9 * * *", "0 10 * * 1-5", "0,30 * * * *", "0 0 13 * 5", "0 0 30 2 *", "0 0 * * 1-7")
     return spark.createDataFrame([(c, Cron.parse(c).next_after(start)) for c in cases], "cron string, next long")
 
 
-@query()
+@query("""SELECT s AS every, n AS now_ms, n // (s * 1000) * s * 1000 AS at_ms, n // (s * 1000) AS missed
+FROM (SELECT unnest([1, 60, 3600])::BIGINT AS s), (SELECT unnest([500, 61000, 7300000])::BIGINT AS n)""")
 def schedule_catch_up(spark, sf):
     return spark.createDataFrame([(s, n, *Every(s).catch_up(0, n)) for s in (1, 60, 3600) for n in (500, 61_000, 7_300_000)], "every long, now_ms long, at_ms long, missed long")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('orders in the last 7 days', '["2026-09-11 to 2026-09-18"]'), ('acme orders in seattle', '["acme", "seattle"]'), ('over $45.50 in march 2025', '["45.5", "2025-03-01 to 2025-03-31"]'),
+('twenty five parts on the 3rd', '["25", "parts", "2026-09-03"]')) AS t(phrase, found)""")
 def phrase_values(spark, sf):
     today = dt.date(2026, 9, 18)
     phrases = ("orders in the last 7 days", "acme orders in seattle", "over $45.50 in march 2025", "twenty five parts on the 3rd")
