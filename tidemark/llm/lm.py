@@ -1,11 +1,14 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation, beside smoothed unigrams.
 
-Tokens are lower-cased words and one end for each text. Counts cover all training rows. The most frequent words form the
-model's classes; all others share one, in which they are told apart by their smoothed counts, so probabilities are
-normalised over known words and one unknown. The model adds an embedding of each of the two classes before, takes the
-product with each class's own embedding, and adds a bias. Each partition trains on all of its training tokens (as
-weighted triples of classes) from common parameters; the partitions' parameters are averaged, weighted by tokens, twice.
-Contexts that are equal are scored once, as batched matrix products.
+Tokens are lower-cased words and one end for each text. Counts cover all training rows. The end and the most frequent words
+are classes of the model by themselves; all others share ``BUCKETS`` classes by the hash of the word, in which they are told
+apart by their smoothed counts, so probabilities are normalised over known words and one unknown in each bucket. The model
+adds an embedding of each of the two words before (those beyond the ``CONTEXTS`` first are alike there), takes the product
+with each class's own embedding, and adds a bias. Partitions with training rows are joined to shards
+of about ``SHARD`` tokens where they are smaller, since averaging many that saw little loses most of what they learnt; scores
+still depend on which rows share a shard. Each shard trains on all of its tokens (as weighted triples of classes) from common
+parameters; the shards' parameters are averaged, weighted by tokens, twice. Contexts that are equal are scored once, as
+batched matrix products.
 
 Counts of the ``FREQUENT`` words go to the workers, a fixed number; all rarer words are joined with their counts by a
 shuffle, and by their rarity none of them is hot.
@@ -16,6 +19,7 @@ repeated rows included; with no training rows all scores are those of the prior.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, texts, tokens
 
-CLASSES, WIDTH, FREQUENT = 1024, 16, 1 << 18
-ROUNDS, BATCH, SHARED, NOISE, RATE, GROUPS = 2, 4096, 128, 16, 0.2, 16
+CLASSES, BUCKETS, CONTEXTS, WIDTH, FREQUENT = 2048, 512, 1024, 16, 1 << 18
+HEAD = CLASSES - BUCKETS  # the end and the words that are classes; class of a place among these: BUCKETS + place
+ROUNDS, BATCH, SHARED, NOISE, RATE, GROUPS, SHARD = 2, 4096, 128, 16, 0.3, 16, 1 << 21
 BLOCK = 4 << 20
-OTHER, END, BEGIN = 0, 1, CLASSES  # BEGIN only stands in contexts
+OTHER, END, BEGIN = 0, BUCKETS, CONTEXTS  # OTHER and BEGIN only stand in contexts, where a place is one more
 END_WORD = "\n"  # no word holds it
 
 
@@ -53,36 +58,56 @@ def counts(df: DataFrame) -> DataFrame:
     return df.where(~F.col("held_out")).select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def bucket_of(token):
+    """The bucket of a word that is no class, as a column; the same as of ``buckets``."""
+    return (F.crc32(token.cast("binary")) % BUCKETS).cast("int")
+
+
+def buckets(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
+
+
 class Words:
-    """The frequent words with their counts, the classes first, and totals of the training text."""
+    """The frequent words with their counts, the classes first, and totals of the training text.
+
+    rest: by bucket, the sum of counts and the number of the words that aren't among the frequent ones.
+    """
 
-    def __init__(self, words: list[str], c: list[int], total: int, distinct: int):
+    def __init__(self, words: list[str], c: list[int], total: int, distinct: int, rest: tuple[np.ndarray, np.ndarray] | None = None):
         self.words, self.c = pa.array(words, pa.large_string()), np.array(c, np.int64)
         self.total, self.distinct = total, distinct
-        inside = self.c[: CLASSES - 1].sum()
-        self.prior = np.concatenate([[max(total - inside, 0)], self.c[: CLASSES - 1]]).astype(float)
+        own = buckets(words[HEAD:])
+        shared, kinds = np.bincount(own, self.c[HEAD:], minlength=BUCKETS), np.bincount(own, minlength=BUCKETS)
+        if rest is not None:
+            shared, kinds = shared + rest[0], kinds + rest[1]
+        self.prior = np.concatenate([shared, self.c[:HEAD]]).astype(float)
         self.prior = np.append(self.prior, np.zeros(CLASSES - len(self.prior))) + 0.5
         self.prior /= self.prior.sum()
-        self.log_others = np.log10(max(total - inside, 0) + max(distinct - (self.c[: CLASSES - 1] > 0).sum(), 0) + 1)
+        self.log_others = np.log10(shared + kinds + 1)
 
-    def look_up(self, flat: pa.Array) -> np.ndarray:
-        """Place among the frequent words, or -1."""
+    def look_up(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Place among the frequent words, or -1; and the bucket of words that are no class."""
         coded = flat.dictionary_encode()
-        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False)
-        return place[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64) if len(flat) else np.zeros(0, np.int64)
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        bucket = np.zeros(len(place), np.int64)
+        shared = (place < 0) | (place >= HEAD)
+        bucket[shared] = buckets(coded.dictionary.filter(pa.array(shared)).to_pylist())
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        return (place[which], bucket[which]) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def laid_out(place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per token, ends included: the class, the two before it, and the text."""
+def laid_out(place: np.ndarray, bucket: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per token, ends included: the class, the contexts one and two before it, and the text."""
     total = size + 1
     owner = np.repeat(np.arange(len(size)), total)
     last = np.cumsum(total) - 1
-    own = np.full(len(owner), END)
+    own, before = np.full(len(owner), END), np.full(len(owner), OTHER)
     word = np.ones(len(owner), bool)
     word[last] = False
-    own[word] = np.where((place >= 0) & (place < CLASSES - 1), place + 1, OTHER)
+    own[word] = np.where((place >= 0) & (place < HEAD), place + BUCKETS, bucket)
+    before[word] = np.where((place >= 0) & (place < CONTEXTS - 1), place + 1, OTHER)
     one, two = np.full(len(owner), BEGIN), np.full(len(owner), BEGIN)
-    one[1:], two[2:] = own[:-1], own[:-2]
+    one[1:], two[2:] = before[:-1], before[:-2]
     first = last - size
     one[first] = BEGIN
     two[first] = BEGIN
@@ -91,7 +116,7 @@ def laid_out(place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own, one, two, owner
 
 
-SIZES = [(CLASSES + 1, WIDTH), (CLASSES + 1, WIDTH), (CLASSES, WIDTH), (CLASSES, 1)]
+SIZES = [(CONTEXTS + 1, WIDTH), (CONTEXTS + 1, WIDTH), (CLASSES, WIDTH), (CLASSES, 1)]
 
 
 def initial(words: Words) -> list[np.ndarray]:
@@ -128,24 +153,25 @@ def train(params: list[np.ndarray], squares: list[np.ndarray], triples: np.ndarr
         dh = pull[:, None] * out[own] + push @ out[noise]
         d_out = scatter(own, pull[:, None] * h, CLASSES) + scatter(noise, push.T @ h, CLASSES)
         d_bias = scatter(own, pull[:, None], CLASSES) + scatter(noise, push.sum(0)[:, None], CLASSES)
-        for p, s, d in ((far, squares[0], scatter(two, dh, CLASSES + 1)), (near, squares[1], scatter(one, dh, CLASSES + 1)), (out, squares[2], d_out), (bias, squares[3], d_bias)):
+        for p, s, d in ((far, squares[0], scatter(two, dh, CONTEXTS + 1)), (near, squares[1], scatter(one, dh, CONTEXTS + 1)), (out, squares[2], d_out), (bias, squares[3], d_bias)):
             s += d * d
             p += RATE * d / (np.sqrt(s) + 1e-6)
 
 
 def packed(own: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return (two * (CLASSES + 1) + one) * CLASSES + own
+    return (two * (CONTEXTS + 1) + one) * CLASSES + own
 
 
 def unpacked(code: np.ndarray) -> np.ndarray:
     rest, own = np.divmod(code, CLASSES)
-    two, one = np.divmod(rest, CLASSES + 1)
+    two, one = np.divmod(rest, CONTEXTS + 1)
     return np.column_stack([two, one, own])
 
 
 def fit(df: DataFrame, words: Words) -> list[np.ndarray]:
-    """Parameters after ROUNDS of training in all partitions and averaging; at most GROUPS rows reach the driver."""
+    """Parameters after ROUNDS of training in all shards and averaging; at most GROUPS rows reach the driver."""
     params = initial(words)
+    rows = df.where(~F.col("held_out")).select("text").coalesce(max(1, words.total // SHARD))
     shape = [np.prod(s) for s in SIZES]
 
     def averaged(part: pa.Table) -> pa.Table:
@@ -165,7 +191,7 @@ def fit(df: DataFrame, words: Words) -> list[np.ndarray]:
             seen = 0
             for n, batch in enumerate(blocks(batches, limit=BLOCK)):
                 flat, size = tokens(texts(batch))
-                c, one, two, _ = laid_out(words.look_up(flat), size)
+                c, one, two, _ = laid_out(*words.look_up(flat), size)
                 code, weight = np.unique(packed(c, one, two), return_counts=True)
                 train(own, squares, unpacked(code), weight, words.prior, 1000 * turn + n)
                 seen += len(c)
@@ -173,7 +199,7 @@ def fit(df: DataFrame, words: Words) -> list[np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([part % GROUPS]), pa.array([seen]), pa.array([np.concatenate([p.ravel() for p in own]).astype(np.float32).tobytes()], pa.binary())], ["part", "weight", "params"])
 
         schema = "part long, weight long, params binary"
-        done = df.where(~F.col("held_out")).select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(averaged, schema).collect()
+        done = rows.mapInArrow(run, schema).groupBy("part").applyInArrow(averaged, schema).collect()
         if done:
             whole = sum(r.weight for r in done)
             mean = sum(r.weight / whole * np.frombuffer(bytes(r.params), np.float32).astype(float) for r in done)
@@ -186,12 +212,12 @@ def class_scores(params: list[np.ndarray], own: np.ndarray, one: np.ndarray, two
     far, near, out, bias = params
     code, back = np.unique(packed(own, one, two), return_inverse=True)
     triples = unpacked(code)
-    context, which = np.unique(triples[:, 0] * (CLASSES + 1) + triples[:, 1], return_inverse=True)
+    context, which = np.unique(triples[:, 0] * (CONTEXTS + 1) + triples[:, 1], return_inverse=True)
     found = np.empty(len(code))
-    edge = np.searchsorted(which, np.arange(0, len(context) + 4096, 4096))
-    for k, at in enumerate(range(0, len(context), 4096)):
-        some = context[at : at + 4096]
-        logits = (far[some // (CLASSES + 1)] + near[some % (CLASSES + 1)]) @ out.T + bias[:, 0]
+    edge = np.searchsorted(which, np.arange(0, len(context) + 2048, 2048))
+    for k, at in enumerate(range(0, len(context), 2048)):
+        some = context[at : at + 2048]
+        logits = (far[some // (CONTEXTS + 1)] + near[some % (CONTEXTS + 1)]) @ out.T + bias[:, 0]
         top = logits.max(1, keepdims=True)
         norm = top[:, 0] + np.log(np.exp(logits - top).sum(1))
         span = slice(edge[k], edge[k + 1])
@@ -223,22 +249,28 @@ def score(df: DataFrame) -> DataFrame:
     names, own = [r.token for r in top], [r.c for r in top]
     if not names or names[0] != END_WORD:
         names, own = [END_WORD, *names], [0, *own]
-    words = Words(names, own, totals[0], totals[1])
+    held = buckets(names)
+    rest = [-np.bincount(held, own, minlength=BUCKETS), -np.bincount(held, np.array(own) > 0, minlength=BUCKETS)]  # all words less those
+    for r in table.groupBy(bucket_of(F.col("token")).alias("b")).agg(F.sum("c").alias("s"), F.count("*").alias("n")).collect():  # BUCKETS rows
+        rest[0][r.b] += r.s
+        rest[1][r.b] += r.n
+    words = Words(names, own, totals[0], totals[1], tuple(rest))
     params = fit(rows, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = words.c > 0, np.log10(words.c + 1.0)
         for batch in blocks(batches, limit=BLOCK):
             flat, size = tokens(texts(batch))
-            place = words.look_up(flat)
-            c, one, two, owner = laid_out(place, size)
+            place, bucket = words.look_up(flat)
+            c, one, two, owner = laid_out(place, bucket, size)
             each = class_scores(params, c, one, two)
-            each[c == OTHER] -= words.log_others
+            shared = c < BUCKETS
+            each[shared] -= words.log_others[c[shared]]
             n = batch.num_rows
             rare = place < 0
             word_owner = np.repeat(np.arange(n), size)
             common = np.where(rare, 0, logs[np.maximum(place, 0)])
-            in_others = np.where(~rare & (place >= CLASSES - 1), common, 0)
+            in_others = np.where(~rare & (place >= HEAD), common, 0)
             base = np.bincount(word_owner, common, minlength=n) + logs[0]
             model = np.bincount(owner, each, minlength=n) + np.bincount(word_owner, in_others, minlength=n)
             seen = np.bincount(word_owner[~rare], minlength=n) + int(known[0])
