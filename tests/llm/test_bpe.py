@@ -46,6 +46,37 @@ def test_encode_matches_reference(reference):
     assert bpe.coder(PATH).decode(ids).tobytes() == "".join(texts).encode()
 
 
+def test_vocabulary_of_any_order(tmp_path):
+    """Ranks in no order at all, so that merges make pairs of lower rank: long and short rows do what single merges do."""
+    rng = random.Random(3)
+    for case in range(40):
+        tokens = list({bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 7))) for _ in range(60)})
+        tokens += [bytes([b]) for b in range(256)]
+        rng.shuffle(tokens)
+        path = tmp_path / f"{case}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+        ranks, own = {t: i for i, t in enumerate(tokens)}, bpe.Coder(str(path))
+        pieces = [bytes(rng.choice(b"abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(2, 60) * rng.choice([1, 9]))) for _ in range(30)]
+        want = []
+        for piece in pieces:
+            parts = [bytes([b]) for b in piece]
+            while True:
+                found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+                if not found:
+                    break
+                i = min(found)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            want.append([ranks[p] for p in parts])
+        size = np.array([len(p) for p in pieces])
+        ids, length = own.line(own.single[np.frombuffer(b"".join(pieces), np.uint8)], size)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(length)[:-1])] == want
+        for piece, ids in zip(pieces, want):
+            got, n = own.line(own.single[np.frombuffer(piece, np.uint8)], np.array([len(piece)]))
+            assert got.tolist() == ids and n.tolist() == [len(ids)]
+            got, n = own.matrix(own.single[np.frombuffer(piece, np.uint8)][None, :])
+            assert got[got >= 0].tolist() == ids
+
+
 def test_query(spark, sf, reference):
     from tidemark.llm import queries
 

@@ -2,7 +2,8 @@
 
 A text is cut into the matches of the public split pattern by classifying code points; the distinct matches of a
 block are laid out as padded matrices, one per length bucket, and every row merges its leftmost pair of minimum rank
-each round. Pairs are looked up in an open-addressing hash table; finished rows leave the matrix.
+each round. Pairs are looked up in an open-addressing hash table; finished rows leave the matrix. Long rows merge all
+pairs of that rank in a round, as far as single merges would come to the same.
 
 Defined results: a null text counts as empty; an empty text has no ids; every row in gives a row out, repeated rows
 and null ids included; other columns play no part. Memory is bounded by a block of ``BLOCK_BYTES`` or one document.
@@ -13,7 +14,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +25,8 @@ from .common import blocks, ragged, texts
 
 #: Bytes of text that a worker encodes at once, unless one document alone is longer.
 BLOCK = 2 << 20
-#: Pieces of more bytes are merged one by one with a heap: a matrix would need as many rounds as they have bytes.
-LONG_PIECE = 192
+#: Pieces of more bytes are laid end to end, about LINE bytes of them at once: a matrix would need as many rounds as they have bytes.
+LONG_PIECE, LINE = 192, 1 << 16
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
@@ -112,7 +112,6 @@ class Coder:
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a << self.shift | b] = i
-        self.pairs = pairs
         self.mask = (1 << (4 * max(1, len(pairs))).bit_length()) - 1
         self.keys, self.merged = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, self.none, np.int32)
         key, value = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
@@ -182,25 +181,56 @@ class Coder:
             length[rows] = (left >= 0).sum(1)
         return out, length
 
-    def long(self, piece: bytes) -> list[int]:
-        """The same merges for one long piece, by a heap over a linked list."""
-        ids = [int(self.single[b]) for b in piece]
-        after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        pair = lambda i: self.pairs.get(ids[i] << self.shift | ids[after[i]]) if after[i] >= 0 else None
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and (x := pair(k)) is not None:
-                    heapq.heappush(heap, (x, k, ids[k], ids[after[k]]))
-        return [x for x in ids if x >= 0]
+    def line(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long rows, laid end to end without padding. Gives what is left of them and their lengths.
+
+        In a round a row merges its pair of minimum rank wherever it occurs, from the left, up to the first merge that makes a
+        pair of lower rank, which the next round takes. That is what single merges would do, in as many rounds as a row has
+        ranks, not bytes. Merged places leave once they are half of all.
+        """
+        ids, after, before, first = self.links(ids, size)
+        rank = self.look_up(ids[:-1], ids[after[:-1]])
+        live = len(rank)
+        while live:
+            least = np.minimum.reduceat(rank, first)
+            at = np.flatnonzero((rank == (least if len(least) == 1 else np.repeat(least, np.diff(first, append=len(rank))))) & (rank != self.none))
+            if not len(at):
+                break
+            # of pairs that overlap in a run, every second one merges
+            each = np.arange(len(at))
+            chained = np.append(False, at[1:] == after[at[:-1]])
+            at = at[(each - np.maximum.accumulate(np.where(chained, 0, each))) % 2 == 0]
+            second, made = after[at], rank[at].astype(np.int64)
+            beside = np.append(False, before[at[1:]] == second[:-1])  # the pair on the left has merged by then
+            lower = self.look_up(made, ids[after[second]]) < made
+            lower |= self.look_up(np.where(beside, made, ids[before[at]]), made) < made
+            if lower.any():
+                row = np.searchsorted(first, at, side="right")
+                earlier = np.cumsum(lower) - lower
+                fine = earlier == earlier[np.searchsorted(row, row)]
+                at, second, made = at[fine], second[fine], made[fine]
+            ids[at], ids[second], rank[second] = made, -1, self.none
+            after[at] = after[second]
+            before[after[at]] = at
+            touched = np.concatenate([at, before[at]])
+            touched = touched[touched < len(rank)]
+            rank[touched] = self.look_up(ids[touched], ids[after[touched]])
+            live -= len(at)
+            if 2 * live < len(rank):
+                there = ids[:-1] >= 0
+                size, rank = np.add.reduceat(there, first, dtype=np.int64), rank[there]
+                ids, after, before, first = self.links(ids[:-1][there], size)
+        there = ids[:-1] >= 0
+        return ids[:-1][there], np.add.reduceat(there, first, dtype=np.int64)
+
+    @staticmethod
+    def links(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows end to end with a place for nothing behind them; each place's next and last in its row; and where rows start."""
+        n = len(ids)
+        first = np.cumsum(size) - size
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[first + size - 1], after[n], before[first] = n, n, n
+        return np.append(ids, -1), after, before, first
 
     def pieces(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, laid end to end, and how many each has."""
@@ -229,11 +259,14 @@ class Coder:
                 counts[own] = length
                 parts.append(ids[ids >= 0])
                 owner.append(np.repeat(own, length))
-        for i in np.flatnonzero(rest & (size > LONG_PIECE)):
-            ids = self.long(data[offsets[i] : offsets[i + 1]].tobytes())
-            counts[i] = len(ids)
-            parts.append(np.array(ids, np.int64))
-            owner.append(np.full(len(ids), i))
+        at = np.flatnonzero(rest & (size > LONG_PIECE))
+        at = at[np.argsort(size[at], kind="stable")]
+        group = np.cumsum(size[at]) // LINE
+        for own in np.split(at, np.flatnonzero(np.diff(group)) + 1) if len(at) else ():
+            ids, length = self.line(self.single[data[ragged(offsets[own], size[own])]], size[own])
+            counts[own] = length
+            parts.append(ids)
+            owner.append(np.repeat(own, length))
         own = np.concatenate(owner)
         return np.concatenate(parts)[np.argsort(own, kind="stable")].astype(np.uint32), counts
 
