@@ -60,6 +60,22 @@ def test_chains_and_short_texts(spark):
     check(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+def test_group_of_unlike_copies(spark):
+    """Copies of one text, many of them just too far from each other, so that bounds have to rule out pairs but no link."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(200):
+        own = list(base)
+        for at in rng.sample(range(70), rng.randrange(7)):
+            own[at] = f"x{rng.randrange(40)}"  # some changes are shared
+        rows.append((i, " ".join(own[rng.randrange(3) :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 85, 95):
+        want = brute(rows, percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, percent).collect()} == want
+
+
 def test_edge_rows(spark):
     rows = [(5, None), (4, ""), (3, " \n"), (2, "A b"), (9, "a  B"), (1, "a b c d e f"), (7, "a b c d e f")]
     df = spark.createDataFrame([(i, t, 0, 1) for i, t in rows], "doc_id long, text string, n_shingles int, fp int")

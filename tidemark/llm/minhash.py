@@ -5,8 +5,8 @@ full ones by a random walk that is the same for all sets. Bands of bins make buc
 more than one component, the member that shares most buckets is a centre and is compared with the members of other
 components only, so edges form a star and pair counts stay near the number of members; a pair is made in the first band that its
 two share. Centres leave, components merge, and later rounds take more centres a bucket; a bucket ends when its members are in one component or all pairs of
-different components were compared. Pairs whose sizes, or whose numbers of shingles that no other candidate has, rule a
-link out aren't compared. Every link is confirmed on the full sets. Nothing is capped or sampled.
+different components were compared. Pairs whose sizes, or whose numbers of shingles that no other candidate has, in all or
+part by part, rule a link out aren't made. Every link is confirmed on the full sets. Nothing is capped or sampled.
 
 Defined results: null and empty texts have an empty set and link with nothing; texts of fewer words than a shingle are
 one shingle of all their words; repeated rows and copies have the same set and so the same component; a null id counts
@@ -15,11 +15,12 @@ only if its whole component has no other. Classes of equal sets are told apart b
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, mix64, texts, tokens, word_hashes
@@ -30,6 +31,8 @@ ROWS, BANDS = 4, 24
 BINS = ROWS * BANDS
 #: Bands of the first round, which link most copies, so that the others needn't be looked at.
 FIRST_BANDS = 2
+#: Parts of a set, by the last bits of its hashes, in which what two sets can share is bounded.
+PARTS = 32
 
 
 def donors() -> np.ndarray:
@@ -111,27 +114,34 @@ def signatures(df: DataFrame) -> DataFrame:
 
 
 def full_sets(df: DataFrame) -> DataFrame:
-    """fp and the set itself, for each row's text."""
+    """fp, the set itself and how many of it each part has, for each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets, sizes = shingle_sets(texts(batch))
             edges = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets, sizes)), pa.ListArray.from_arrays(edges, pa.array(sets.view(np.int64)))], ["fp", "own"])
+            place = np.repeat(np.arange(len(sizes)), sizes) * PARTS + (sets & np.uint64(PARTS - 1)).astype(np.int64)
+            parts = np.bincount(place, minlength=len(sizes) * PARTS).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARTS), pa.array(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets, sizes)), pa.ListArray.from_arrays(edges, pa.array(sets.view(np.int64))), parts], ["fp", "own", "parts"])
 
-    return df.select("text").mapInArrow(run, "fp long, own array<long>")
+    return df.select("text").mapInArrow(run, "fp long, own array<long>, parts array<int>")
 
 
 def without_loners(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Bounds what each set can share with one of another label: s is its number of shingles that such a set of these rows has.
+    """Bounds what each set can share with one of another label: shared is its number of shingles in each part that such a set
+    of these rows has, and s their sum.
 
     Sets that by this bound are too far from all others go; no link is lost. Shingles of one label are counted by a join that
     reuses the exchange of the first pass.
     """
     each = sets.join(rows.select("fp", "label").distinct(), "fp").select("fp", "label", F.explode("own").alias("shingle")).repartition("shingle")
     lone = each.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("shingle")
-    alone = each.join(lone, "shingle", "left_semi").groupBy("fp").agg(F.count("*").alias("alone"))
-    rows = rows.drop("s").join(alone, "fp", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    part = F.col("shingle").bitwiseAND(PARTS - 1)
+    alone = each.join(lone, "shingle", "left_semi").groupBy("fp").agg(F.count("*").alias("alone"), F.array(*[F.count(F.when(part == p, 1)).cast("int") for p in range(PARTS)]).alias("gone"))
+    shared = F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.array(*[F.col("parts")[p] - F.col("gone")[p] for p in range(PARTS)]))
+    bound = sets.select("fp", "parts").join(alone, "fp", "left").select("fp", shared.alias("shared"), F.coalesce("alone", F.lit(0)).alias("alone"))
+    rows = rows.drop("s").join(bound, "fp").withColumn("s", F.col("n") - F.col("alone")).drop("alone")
     return rows.where(F.col("s") * 100 >= F.col("n") * percent)
 
 
@@ -155,7 +165,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
 
     wanted = scratch.table(rows.select("fp").distinct().join(classes, "fp").select(F.col("row.doc_id").alias("id"), F.col("row.tk").alias("key")))
     own = df.select("doc_id", "text", F.xxhash64("text").alias("tk")).hint("merge").join(wanted, F.expr("doc_id <=> id and tk = key"), "left_semi")
-    sets = scratch.table(full_sets(own).groupBy("fp").agg(F.first("own").alias("own")))
+    sets = scratch.table(full_sets(own).groupBy("fp").agg(F.first("own").alias("own"), F.first("parts").alias("parts")))
 
     label = None  # (node, label) of the sets that have been linked
     turn, centres = 0, 1
@@ -166,16 +176,18 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
         here = scratch.table(here.join(mixed, "bucket"))
         if here.isEmpty():
             break
-        once = F.lit(True)  # whether a pair's turn is in this band
+        once = F.lit(True)  # whether a pair's turn is in this band, and it can share enough
         if turn:
             here = without_loners(here, sets, percent).join(classes.select("fp", "bands"), "fp")
             here = scratch.table(here)
             same = F.zip_with("bands", "others", lambda x, y: x == y)
             once = F.array_position(same, F.lit(True)) == F.col("band") + 1
+            both = functools.reduce(Column.__add__, [F.least(F.col("shared")[p], F.col("theirs")[p]) for p in range(PARTS)])
+            once = (both * (100 + percent) >= (F.col("n") + F.col("na")) * percent) & once
         part = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(centres))
         chosen = here.where(F.col("band") < FIRST_BANDS) if turn == 0 else here
-        chosen = chosen.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("degree", "fp", "n", "s", "label", *["bands"] * bool(turn))).alias("c"))
-        chosen = scratch.table(chosen.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("na"), F.col("c.s").alias("sa"), F.col("c.label").alias("la"), *[F.col("c.bands").alias("others")] * bool(turn)))
+        chosen = chosen.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("degree", "fp", "n", "s", "label", *["bands", "shared"] * bool(turn))).alias("c"))
+        chosen = scratch.table(chosen.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("na"), F.col("c.s").alias("sa"), F.col("c.label").alias("la"), *[F.col("c.bands").alias("others"), F.col("c.shared").alias("theirs")] * bool(turn)))
         most = F.least("s", "sa", "n", "na")  # words that the two can share
         pairs = here.join(chosen, "bucket").where((F.col("label") != F.col("la")) & (most * 100 >= (F.col("n") + F.col("na") - most) * percent) & once)
         pairs = scratch.table(pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"), F.when(F.col("a") < F.col("fp"), F.col("la")).otherwise(F.col("label")).alias("la"), F.when(F.col("a") < F.col("fp"), F.col("label")).otherwise(F.col("la")).alias("lb")).distinct())
@@ -192,7 +204,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
                 old = label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
                 fresh = merged.join(label, "node", "left_anti")
                 label = scratch.table(old.union(fresh.select("node", "label")))
-        rows = here.drop("label", "bands").join(chosen.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
+        rows = here.drop("label", "bands", "shared").join(chosen.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
         turn += 1
         centres *= 1 if turn < 2 else 16
     final = classes.select("fp", "least")
