@@ -2,8 +2,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import lm, queries
@@ -53,6 +55,20 @@ def test_probabilities_add_up_to_one():
     assert (inner + 1) / 10**own.log_others == pytest.approx(np.ones(lm.BUCKETS))
 
 
+def test_frequent_words_are_hashed_once(monkeypatch):
+    """Each block looks its words up; only those that aren't among the frequent ones are hashed then."""
+    names = ["\n", *(f"w{i}" for i in range(lm.CLASSES + 500))]
+    own = lm.Words(names, [5] * len(names), 5 * len(names), len(names))
+    flat = [*names[1:], "é", "new", "é", *names[-3:]]
+    hashed = []
+    monkeypatch.setattr(lm, "zlib", SimpleNamespace(crc32=lambda w: hashed.append(w) or zlib.crc32(w)))
+    place, bucket = own.look_up(pa.array(flat, pa.large_string()))
+    at = {w: i for i, w in enumerate(names)}
+    assert place.tolist() == [at.get(w, -1) for w in flat]
+    assert bucket.tolist() == [0 if 0 <= at.get(w, -1) < lm.HEAD else zlib.crc32(w.encode()) % lm.BUCKETS for w in flat]
+    assert sorted(hashed) == ["new".encode(), "é".encode()]
+
+
 def plain_score(texts, params, own, c):
     """Each text's score, token by token, with the softmax over all classes written out."""
     far, near, out, bias = [p.astype(float) for p in params]

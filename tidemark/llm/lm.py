@@ -34,6 +34,7 @@ CLASSES, BUCKETS, CONTEXTS, WIDTH, FREQUENT = 2048, 512, 1024, 16, 1 << 18
 HEAD = CLASSES - BUCKETS  # the end and the words that are classes; class of a place among these: BUCKETS + place
 ROUNDS, BATCH, SHARED, NOISE, RATE, GROUPS, SHARD = 2, 4096, 128, 16, 0.3, 16, 1 << 21
 BLOCK = 4 << 20
+TOGETHER = 128  # contexts whose scores are worked out at once, in two arrays that stay in a core's cache
 OTHER, END, BEGIN = 0, BUCKETS, CONTEXTS  # OTHER and BEGIN only stand in contexts, where a place is one more
 END_WORD = "\n"  # no word holds it
 
@@ -64,7 +65,11 @@ def bucket_of(token):
 
 
 def buckets(words: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
+    return crcs([w.encode() for w in words])
+
+
+def crcs(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
 
 
 class Words:
@@ -77,6 +82,7 @@ class Words:
         self.words, self.c = pa.array(words, pa.large_string()), np.array(c, np.int64)
         self.total, self.distinct = total, distinct
         own = buckets(words[HEAD:])
+        self.bucket = np.append(np.zeros(min(HEAD, len(words)), np.int16), own.astype(np.int16))  # of each frequent word
         shared, kinds = np.bincount(own, self.c[HEAD:], minlength=BUCKETS), np.bincount(own, minlength=BUCKETS)
         if rest is not None:
             shared, kinds = shared + rest[0], kinds + rest[1]
@@ -89,9 +95,8 @@ class Words:
         """Place among the frequent words, or -1; and the bucket of words that are no class."""
         coded = flat.dictionary_encode()
         place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        bucket = np.zeros(len(place), np.int64)
-        shared = (place < 0) | (place >= HEAD)
-        bucket[shared] = buckets(coded.dictionary.filter(pa.array(shared)).to_pylist())
+        bucket, rare = self.bucket[place].astype(np.int64), place < 0
+        bucket[rare] = crcs(coded.dictionary.filter(pa.array(rare)).cast(pa.large_binary()).to_pylist())
         which = coded.indices.to_numpy(zero_copy_only=False)
         return (place[which], bucket[which]) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -139,6 +144,7 @@ def train(params: list[np.ndarray], squares: list[np.ndarray], triples: np.ndarr
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(triples))
     log_noise = np.log(NOISE * prior).astype(np.float32)
+    held = np.empty((BATCH, SHARED), np.float32)
     for at in range(0, len(order), BATCH):
         pick = order[at : at + BATCH]
         two, one, own = triples[pick].T
@@ -147,9 +153,12 @@ def train(params: list[np.ndarray], squares: list[np.ndarray], triples: np.ndarr
         noise = rng.choice(CLASSES, SHARED, p=prior)
         h = far[two] + near[one]
         good = (h * out[own]).sum(1) + bias[own, 0] - log_noise[own]
-        bad = h @ out[noise].T + bias[noise, 0] - log_noise[noise]
+        bad = np.matmul(h, out[noise].T, out=held[: len(pick)])
+        bad += bias[noise, 0] - log_noise[noise]
         pull = w / (1 + np.exp(np.clip(good, -30, 30)))  # w * (1 - sigmoid)
-        push = -(NOISE / SHARED) * w[:, None] / (1 + np.exp(np.clip(-bad, -30, 30)))
+        push = np.exp(np.clip(np.negative(bad, out=bad), -30, 30, out=bad), out=bad)
+        push += 1
+        np.divide(-(NOISE / SHARED) * w[:, None], push, out=push)
         dh = pull[:, None] * out[own] + push @ out[noise]
         d_out = scatter(own, pull[:, None] * h, CLASSES) + scatter(noise, push.T @ h, CLASSES)
         d_bias = scatter(own, pull[:, None], CLASSES) + scatter(noise, push.sum(0)[:, None], CLASSES)
@@ -214,12 +223,16 @@ def class_scores(params: list[np.ndarray], own: np.ndarray, one: np.ndarray, two
     triples = unpacked(code)
     context, which = np.unique(triples[:, 0] * (CONTEXTS + 1) + triples[:, 1], return_inverse=True)
     found = np.empty(len(code))
-    edge = np.searchsorted(which, np.arange(0, len(context) + 2048, 2048))
-    for k, at in enumerate(range(0, len(context), 2048)):
-        some = context[at : at + 2048]
-        logits = (far[some // (CONTEXTS + 1)] + near[some % (CONTEXTS + 1)]) @ out.T + bias[:, 0]
+    edge = np.searchsorted(which, np.arange(0, len(context) + TOGETHER, TOGETHER))
+    across, held = np.ascontiguousarray(out.T), np.empty((2, TOGETHER, CLASSES), np.float32)
+    for k, at in enumerate(range(0, len(context), TOGETHER)):
+        some = context[at : at + TOGETHER]
+        logits, above = held[:, : len(some)]
+        np.matmul(far[some // (CONTEXTS + 1)] + near[some % (CONTEXTS + 1)], across, out=logits)
+        logits += bias[:, 0]
         top = logits.max(1, keepdims=True)
-        norm = top[:, 0] + np.log(np.exp(logits - top).sum(1))
+        np.exp(np.subtract(logits, top, out=above), out=above)
+        norm = top[:, 0] + np.log(above.sum(1))
         span = slice(edge[k], edge[k + 1])
         local = which[span] - at
         found[span] = (logits[local, triples[span, 2]].astype(float) - norm[local]) / np.log(10)
