@@ -1,6 +1,7 @@
 import random
 
-from tidemark.llm import minhash, queries
+from tidemark.llm import graph, minhash, queries
+from tidemark.llm.common import Scratch
 
 
 def brute(rows, percent=85):
@@ -92,3 +93,47 @@ def test_empty_texts_at_the_end_of_a_batch(spark):
     check(minhash.near_duplicates(df).collect(), rows)
     pieces = [spark.createDataFrame(rows[a:b], "doc_id long, text string").coalesce(1) for a, b in ((0, 2), (2, 4), (4, 6), (6, 10))]
     check(minhash.near_duplicates(pieces[0].union(pieces[1]).union(pieces[2]).union(pieces[3])).collect(), rows)
+
+
+def test_few_tables(spark, monkeypatch):
+    """Each table is several jobs of all partitions, so a group of unlike copies mustn't take dozens of rounds and tables."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        own = [f"w{k}" for k in range(70)]
+        for at in rng.sample(range(70), rng.randrange(4)):
+            own[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    made, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df: made.append(1) or table(self, df))
+    check(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    assert len(made) <= 40
+
+
+def test_rounds_by_centres_find_the_same(spark, monkeypatch):
+    """Where the closing round comes late, and components go by stars, the links are the same."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        own = [f"w{k}" for k in range(60)]
+        for at in rng.sample(range(60), rng.randrange(6)):
+            own[at] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(minhash, "WHOLE", -1)
+    monkeypatch.setattr(minhash, "GROWTH", 2)
+    monkeypatch.setattr(minhash, "components", lambda links, scratch: graph.components(links, scratch, few=-1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 85):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, percent).collect()} == brute(rows, percent)
+
+
+def test_components_on_the_driver_and_by_stars(spark):
+    rng = random.Random(13)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(-(2**63), 7), (2**63 - 1, 7), (5, 5), (None, 3), (9, None), (0, 1), (1, 0)]
+    scratch = Scratch(spark)
+    df = scratch.table(spark.createDataFrame(edges, "u long, v long"))
+    few, stars = ({tuple(r) for r in graph.components(df, scratch, n).collect()} for n in (len(edges), len(edges) - 1))
+    assert few == stars and len(few) == len({node for node, _ in few})
+    label = dict(few)
+    real = [(u, v) for u, v in edges if None not in (u, v) and u != v]
+    assert set(label) == {x for e in real for x in e} and all(label[u] == label[v] <= min(u, v) for u, v in real)

@@ -5,7 +5,7 @@ full ones by a random walk that is the same for all sets. Bands of bins make buc
 more than one component, the member that shares most buckets is a centre and is compared with the members of other
 components only, so edges form a star and pair counts stay near the number of members; a pair is made in the first band that its
 two share. Centres leave, components merge, and later rounds take more centres a bucket; a bucket ends when its members are in one component or all pairs of
-different components were compared. Pairs whose sizes, or whose numbers of shingles that no other candidate has, in all or
+different components were compared, in the end all that are left at once. Pairs whose sizes, or whose numbers of shingles that no other candidate has, in all or
 part by part, rule a link out aren't made. Every link is confirmed on the full sets. Nothing is capped or sampled.
 
 Defined results: null and empty texts have an empty set and link with nothing; texts of fewer words than a shingle are
@@ -33,6 +33,11 @@ BINS = ROWS * BANDS
 FIRST_BANDS = 2
 #: Parts of a set, by the last bits of its hashes, in which what two sets can share is bounded.
 PARTS = 32
+#: From the third round of bounded pairs on, all pairs of the buckets are looked at at once where these are at most so many, or no
+#: more than the centres would look at.
+WHOLE = 1 << 25
+#: Times as many centres a bucket in each round from the second of bounded pairs on.
+GROWTH = 16
 
 
 def donors() -> np.ndarray:
@@ -129,20 +134,19 @@ def full_sets(df: DataFrame) -> DataFrame:
 
 
 def without_loners(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Bounds what each set can share with one of another label: shared is its number of shingles in each part that such a set
-    of these rows has, and s their sum.
+    """fp, s, shared: bounds of what each set can share with one of another label. shared is its number of shingles in each
+    part that such a set of these rows has, and s their sum; they hold as well where rows went or labels merged since.
 
-    Sets that by this bound are too far from all others go; no link is lost. Shingles of one label are counted by a join that
-    reuses the exchange of the first pass.
+    Sets that by this bound are too far from all others aren't there; no link is lost. Shingles of one label are counted by a
+    join that reuses the exchange of the first pass.
     """
     each = sets.join(rows.select("fp", "label").distinct(), "fp").select("fp", "label", F.explode("own").alias("shingle")).repartition("shingle")
     lone = each.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("shingle")
     part = F.col("shingle").bitwiseAND(PARTS - 1)
     alone = each.join(lone, "shingle", "left_semi").groupBy("fp").agg(F.count("*").alias("alone"), F.array(*[F.count(F.when(part == p, 1)).cast("int") for p in range(PARTS)]).alias("gone"))
     shared = F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.array(*[F.col("parts")[p] - F.col("gone")[p] for p in range(PARTS)]))
-    bound = sets.select("fp", "parts").join(alone, "fp", "left").select("fp", shared.alias("shared"), F.coalesce("alone", F.lit(0)).alias("alone"))
-    rows = rows.drop("s").join(bound, "fp").withColumn("s", F.col("n") - F.col("alone")).drop("alone")
-    return rows.where(F.col("s") * 100 >= F.col("n") * percent)
+    bound = sets.select("fp", "parts", F.size("own").alias("n")).join(alone, "fp", "left").select("fp", "n", shared.alias("shared"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+    return bound.where(F.col("s") * 100 >= F.col("n") * percent).drop("n")
 
 
 def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
@@ -168,26 +172,35 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     sets = scratch.table(full_sets(own).groupBy("fp").agg(F.first("own").alias("own"), F.first("parts").alias("parts")))
 
     label = None  # (node, label) of the sets that have been linked
-    turn, centres = 0, 1
+    turn, centres, since = 0, 1, 0  # since: links found after the bounds were made
     while True:
         here = rows.withColumn("label", F.col("fp")) if label is None else rows.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        here = scratch.table(here)
-        mixed = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        here = scratch.table(here.join(mixed, "bucket"))
-        if here.isEmpty():
+        if turn:  # at first, each bucket has several labels
+            here = scratch.table(here)
+            mixed = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")).where("low < high").select("bucket", "many")
+            here = scratch.table(here.join(mixed, "bucket"))
+        size, looks = here.agg(F.count("*"), F.sum("many") if turn else F.lit(0)).first()
+        if not size:
             break
+        whole = turn > 2 and looks <= max(size * centres, WHOLE)  # all pairs of each bucket, each once, which ends the search
         once = F.lit(True)  # whether a pair's turn is in this band, and it can share enough
         if turn:
-            here = without_loners(here, sets, percent).join(classes.select("fp", "bands"), "fp")
-            here = scratch.table(here)
-            same = F.zip_with("bands", "others", lambda x, y: x == y)
-            once = F.array_position(same, F.lit(True)) == F.col("band") + 1
+            if turn == 1 or since * 100 >= size:
+                bounds = scratch.table(without_loners(here, sets, percent).join(classes.select("fp", "bands"), "fp"))
+                since = 0
+            here = scratch.table(here.drop("s").join(bounds, "fp"))
             both = functools.reduce(Column.__add__, [F.least(F.col("shared")[p], F.col("theirs")[p]) for p in range(PARTS)])
-            once = (both * (100 + percent) >= (F.col("n") + F.col("na")) * percent) & once
-        part = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(centres))
+            once = both * (100 + percent) >= (F.col("n") + F.col("na")) * percent
+            if whole:  # bands stay out of a join that has all rows on both sides; the few pairs that meet again are told apart below
+                once = (F.col("fp") < F.col("a")) & once
+            else:
+                same = [F.when(F.col("bands")[i] == F.col("others")[i], i) for i in range(BANDS)]  # no lambda, so that the join is compiled
+                once = once & (F.coalesce(*same) == F.col("band"))
+        extra = {"shared": "theirs"} if whole else {"bands": "others", "shared": "theirs"} if turn else {}
+        part = F.col("fp") if whole else F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(centres))
         chosen = here.where(F.col("band") < FIRST_BANDS) if turn == 0 else here
-        chosen = chosen.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("degree", "fp", "n", "s", "label", *["bands", "shared"] * bool(turn))).alias("c"))
-        chosen = scratch.table(chosen.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("na"), F.col("c.s").alias("sa"), F.col("c.label").alias("la"), *[F.col("c.bands").alias("others"), F.col("c.shared").alias("theirs")] * bool(turn)))
+        chosen = chosen.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("degree", "fp", "n", "s", "label", *extra)).alias("c"))
+        chosen = scratch.table(chosen.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("na"), F.col("c.s").alias("sa"), F.col("c.label").alias("la"), *[F.col(f"c.{x}").alias(y) for x, y in extra.items()]))
         most = F.least("s", "sa", "n", "na")  # words that the two can share
         pairs = here.join(chosen, "bucket").where((F.col("label") != F.col("la")) & (most * 100 >= (F.col("n") + F.col("na") - most) * percent) & once)
         pairs = scratch.table(pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"), F.when(F.col("a") < F.col("fp"), F.col("la")).otherwise(F.col("label")).alias("la"), F.when(F.col("a") < F.col("fp"), F.col("label")).otherwise(F.col("la")).alias("lb")).distinct())
@@ -195,7 +208,9 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
         both = with_b.join(sets.select(F.col("fp").alias("a"), "own"), "a")
         inter = F.size(F.array_intersect("own", "other"))
         links = scratch.table(both.where(inter * 100 >= (F.size("own") + F.size("other") - inter) * percent).select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct())
-        if not links.isEmpty():
+        many = links.count()
+        if many:
+            since += many
             merged = components(links, scratch)
             if label is None:
                 label = merged
@@ -204,9 +219,11 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
                 old = label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
                 fresh = merged.join(label, "node", "left_anti")
                 label = scratch.table(old.union(fresh.select("node", "label")))
-        rows = here.drop("label", "bands", "shared").join(chosen.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
+        if whole:
+            break
+        rows = here.drop("label", "many", "bands", "shared").join(chosen.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
         turn += 1
-        centres *= 1 if turn < 2 else 16
+        centres *= 1 if turn < 2 else GROWTH
     final = classes.select("fp", "least")
     final = final.withColumn("label", F.col("fp")) if label is None else final.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     final = scratch.table(final)
