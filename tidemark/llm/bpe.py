@@ -6,7 +6,7 @@ each round. Pairs are looked up in an open-addressing hash table; finished rows
 pairs of that rank in a round, as far as single merges would come to the same.
 
 Defined results: a null text counts as empty; an empty text has no ids; every row in gives a row out, repeated rows
-and null ids included; other columns play no part. Memory is bounded by a block of ``BLOCK_BYTES`` or one document.
+and null ids included; other columns play no part. Memory is bounded by a block of ``BLOCK`` or one document.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import blocks, ragged, texts
 
 #: Bytes of text that a worker encodes at once, unless one document alone is longer.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 #: Pieces of more bytes are laid end to end, about LINE bytes of them at once: a matrix would need as many rounds as they have bytes.
 LONG_PIECE, LINE = 192, 1 << 16
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, blocks, mix64, texts, tokens, word_hashes
 
@@ -35,6 +36,8 @@ FEATURES, TARGETS = 1 << 16, 20_000
 SHRINK, LOSS, TEMPER, SEED = 20, 0.004, 0.004, 9
 #: Toxic rows that a word must be in, and by how many standard deviations more than by chance.
 LEAST, CLEAR = 3, 5.0
+#: Bytes of text that a worker takes features of at once, unless one document alone is longer; features need many times that.
+BLOCK = 1 << 19
 
 
 def words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -77,12 +80,14 @@ def toxic_words(df: DataFrame, targets: set, toxic: set) -> tuple[np.ndarray, np
     none = np.zeros(0, np.uint64), np.zeros(0)
     if not targets or not toxic:
         return none
-    kind = df.schema["doc_id"].dataType.simpleString()
-    ids = df.sparkSession.createDataFrame([(i, i in toxic) for i in targets | toxic], f"doc_id {kind}, bad boolean")
+    every = list(targets | toxic)
+    kind = T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), T.StructField("bad", T.BooleanType())])
+    # an Arrow table: rows from a list are pickled again by Python workers, which stay beside those of the stages that follow
+    ids = df.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(every), "bad": pa.array([i in toxic for i in every])}), kind)
     sample = df.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "bad")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK):
             flat, owner = words(texts(batch))
             word = bare(flat)
             bad = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -125,7 +130,7 @@ def fit(df: DataFrame, targets: set) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK):
             feature, owner = features(texts(batch))
             mine = np.array([i in targets for i in batch.column(0).to_pylist()], bool)
             raw += np.bincount(feature, minlength=FEATURES)
@@ -151,7 +156,7 @@ def scored(df: DataFrame, ratio: np.ndarray, targets: set, marks: tuple[np.ndarr
     text, ident = f"_{names.index('text')}", names.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text):
+        for batch in blocks(batches, text, BLOCK):
             flat, of = words(texts(batch, text))
             feature, owner = paired_up(flat, of)
             n = np.bincount(owner, minlength=batch.num_rows)
