@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.errors import Missing, Refused
+from tidemark.plans import engine
 from tidemark.sources import feeds
 from tidemark.sources.tables import Catalog
 from tidemark.streaming.schedule import Alarm, At, Cron, Every, wait_ms
-from tidemark.streaming.views import View, Views
+from tidemark.streaming import views as module
+from tidemark.streaming.views import Progress, View, Views
 from tidemark.streaming.workers import Context, Overtime, turn
 
 START = 1_767_225_600  # 2026-01-01
@@ -91,6 +93,54 @@ def test_cascade_equals_one_shot_and_replay_adds_nothing(spark, catalog):
     assert views.advance("clean").rows == 0 and views.define(View("idle", "nowhere", "select 1", target="x")) and views.advance("idle").caught_up
 
 
+def test_batches_are_whole(spark, catalog, tmp_path):
+    """A view's batch is as large as it says, and a drain or a cascade goes on until nothing is left."""
+    (tmp_path / "sf").mkdir()
+    spark.range(600_000).selectExpr("id as event_id", "id % 7 as user_id", "'click' as event_type", "1.0D as value").write.parquet(str(tmp_path / "sf/events.parquet"))
+    got = engine.view_batch_local_agg(spark, str(tmp_path / "sf")).orderBy("first_id").collect()
+    assert [tuple(r) for r in got] == [(i, i + 149_999, 150_000) for i in range(0, 600_000, 150_000)]
+    views, left = Views(catalog), {"drained": 1200, "all": 100}
+
+    def advance(name):
+        left[name] -= left[name] > 0
+        return Progress(int(left[name] > 0), caught_up=left[name] == 0)
+
+    views.advance = advance
+    views.drain("drained")
+    views.views = {"all": None}
+    views.advance_all()
+    assert left == {"drained": 0, "all": 0}
+
+
+def test_many_rows_of_a_pass(spark, catalog, monkeypatch):
+    """Beyond a turn's rows a batch is counted out where it is, and a worker and an alert get it in parts, none of it twice."""
+    monkeypatch.setattr(module, "MOST_BATCH", 4)
+    monkeypatch.setattr(module, "COUNTS", 3)
+    bronze(spark, catalog, 10)
+    bronze(spark, catalog, 15, 10)
+    sent = []
+
+    def route(rows, ctx):
+        ctx.write("seen", [{"most": len(rows), "first": rows[0]["id"]}])
+        ctx.set_alarm(int(rows[-1]["id"]))
+        return [{"id": r["id"], "state": "warm"} for r in rows if r["value"] >= 3]
+
+    views = Views(catalog)
+    views.define(View("route", "raw", worker=route, target="warm", alert=lambda rows: sent.append(rows) or True, batch_rows=11))
+    views.define(View("sums", "raw", "select min(id) as low, max(id) as high, count(*) as n from raw", target="sums", batch_rows=10))
+    assert views.drain("route").rows == 25 and views.drain("sums").rows == 25
+    assert [r.id for r in catalog.table("warm").frame().orderBy("_tm_seq").collect()] == list(range(3, 25))
+    assert [r["id"] for part in sent for r in part] == list(range(3, 25)) and max(map(len, sent)) <= 4
+    assert max(r.most for r in catalog.table("seen").snapshot().collect()) <= 4
+    assert sorted(tuple(r) for r in catalog.table("sums").snapshot().collect()) == [(0, 9, 10), (10, 19, 10), (20, 24, 5)]
+    assert views.views["route"].alarm.at_ms == 24
+    assert not [n for n in catalog.files.names("") if n.startswith("turns-")]
+    views.define(View("down", "raw", worker=lambda rows, ctx: 1 / 0, target="none", batch_rows=11))
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        views.advance("down")
+    assert views.cursor("down") == 0 and "none" not in catalog.names()
+
+
 def test_worker_side_outputs_and_alert(spark, catalog):
     bronze(spark, catalog)
     sent = []
