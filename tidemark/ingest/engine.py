@@ -7,6 +7,7 @@ gains a column: it is dropped and made again, in one job, from its sources' raw
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -88,17 +89,21 @@ class Ingest:
         n = bronze.append(records.select(record_id(named, F.col("record")).alias(ID), named.alias("source"), F.lit(int(time.time() * 1e6)).alias("received_at"), "record"))
         if not n:
             raise Refused("send at least one record")
-        arrived = self._read(bronze.since(before)).persist()
+        # read once: what is decided, refused and written from it needs it several times
+        kept = f"ingest/arrived-{uuid.uuid4().hex}"
+        whole = f"{self.files.root}/{kept}"
         try:
-            return self._place(source, arrived)
+            made = self._read(bronze.since(before)).withColumn("object", F.col("fields").isNotNull())
+            made.write.parquet(whole)
+            return self._place(source, self.spark.read.schema(made.schema).parquet(whole), before)
         finally:
-            arrived.unpersist()
+            self.files.drop(kept)
 
     def _read(self, raw: DataFrame) -> DataFrame:
-        return raw.select(F.col(ID).alias("id"), "source", "record", F.col(SEQ).alias("at"), literals.fields("record").alias("fields"))
+        return raw.select(F.col(ID).alias("id"), "source", "record", F.col(SEQ).alias("at"), literals.fields_once("record").alias("fields"))
 
-    def _place(self, source: str, arrived: DataFrame) -> Report:
-        objects = arrived.where(F.col("fields").isNotNull())
+    def _place(self, source: str, arrived: DataFrame, before: int) -> Report:
+        objects = arrived.where("object")
         total = objects.count()
         route = self.files.read(f"ingest/routes/{source}.json")
         created, changes = False, []
@@ -117,8 +122,9 @@ class Ingest:
         changes += more
         added, notes = self._plan_embeddings(rule, objects)
         changes += notes
-        judged = arrived.withColumn("reason", F.when(F.col("fields").isNull(), F.lit("not a JSON object")).otherwise(refuse))
+        judged = arrived.withColumn("reason", F.when(~F.col("object"), F.lit("not a JSON object")).otherwise(refuse))
         bad = judged.where(F.col("reason").isNotNull()).orderBy("at")
+        refused_before = self.catalog.table(QUARANTINE).manifest()["high"]
         quarantined = self.catalog.table(QUARANTINE).append(bad.select(F.col("id").alias(ID), "source", F.lit(rule.table).alias("table_name"), "reason", "record"))
         good = judged.where(F.col("reason").isNull()).drop("reason")
         report = Report(source, rule.table, created, arrived.count() - quarantined, quarantined, changes=changes)
@@ -128,10 +134,10 @@ class Ingest:
         self._save(rule)
         report.rescued = mapped(rule, good).where(F.col(EXTRA).isNotNull()).count()
         if report.rebuilt:
-            table = self.rebuild(rule)
+            table = self.rebuild(rule, (good, before, refused_before))
         else:
             table = self.catalog.table(rule.table)
-            table.append(self._silver(rule, good, table))
+            table.append(self._silver(rule, good.orderBy("at"), table))
         if rule.embeddings:
             counts = [F.count_if(F.col(c + SUFFIX).isNotNull()).alias(f"a{i}") for i, c in enumerate(rule.embeddings)] + [F.count_if(F.col(c + SUFFIX).isNull() & F.col(c).isNotNull()).alias(f"b{i}") for i, c in enumerate(rule.embeddings)]
             row = table.snapshot().agg(*counts).first()
@@ -160,8 +166,8 @@ class Ingest:
         return Definition(rule.table, [Column(ID, "string", ID != key), *kinds, Column(EXTRA, "string"), *vectors], [key], vector_indexes={v.name: "cosine" for v in vectors})
 
     def _silver(self, rule: Rule, records: DataFrame, old: Table | None = None) -> DataFrame:
-        """Typed rows in arrival order, with vectors; of texts that the old table has, its vectors are taken over."""
-        rows = mapped(rule, records.orderBy("at"))
+        """Typed rows of records in arrival order, with vectors; of texts that the old table has, its vectors are taken over."""
+        rows = mapped(rule, records)
         for c in rule.embeddings if self.embedder else []:
             name = c + SUFFIX
             held = None
@@ -175,12 +181,23 @@ class Ingest:
                 rows = rows.join(held.unionByName(fresh), F.col(c) == F.col("_t"), "left").drop("_t").withColumnRenamed("_held", name)
         return rows
 
-    def rebuild(self, rule: Rule) -> Table:
-        """The table made again from raw records, in one job."""
+    def rebuild(self, rule: Rule, latest: tuple[DataFrame, int, int] | None = None) -> Table:
+        """The table made again from raw records, in one job. latest: accepted records that have been read already, and the
+        positions in the raw and the refused layer before they came."""
         old = self.catalog.table(rule.table) if rule.table in self.catalog.names() else None
-        refused = self.catalog.table(QUARANTINE).frame().where(F.col("table_name") == rule.table).select(F.col(ID).alias("id"))
-        raw = self._read(self.catalog.table(BRONZE).frame().where(F.col("source").isin(rule.sources)))
-        rows = self._silver(rule, raw.where(F.col("fields").isNotNull()).join(refused, "id", "left_anti"), old)
+        refused = self.catalog.table(QUARANTINE).frame().where(F.col("table_name") == rule.table)
+        good, before, refused_before = latest or (None, None, None)
+        parts = []
+        if before != 0:
+            raw = self.catalog.table(BRONZE).frame().where(F.col("source").isin(rule.sources))
+            raw = raw if before is None else raw.where(F.col(SEQ) <= before)
+            # sorted before they are read: a sort looks at its rows twice
+            raw = raw.join(refused.select(ID), ID, "left_anti").orderBy(SEQ)
+            parts.append(self._read(raw).where(F.col("fields").isNotNull()))
+        if good is not None:
+            again = refused.where(F.col(SEQ) <= refused_before).select(F.col(ID).alias("id"))
+            parts.append((good.join(again, "id", "left_anti") if refused_before else good).select("id", "source", "record", "at", "fields").orderBy("at"))
+        rows = self._silver(rule, parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], old)
         if old is not None:  # what it reads must not go before the new table is written
             kept = f"{self.files.root}/ingest/rebuild-{rule.table}-{rule.version}"
             rows.write.mode("overwrite").parquet(kept)

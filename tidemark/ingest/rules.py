@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.questions import Question
 from .literals import KEYABLE, KINDS, candidates, convert, fits, lossless
+from .literals import parts as literals_parts
 
 ID, EXTRA, BRONZE, QUARANTINE = "record_id", "extra", "ingest_bronze", "ingest_quarantine"
 SURE, MANY_FIELDS, MAX_COLUMNS, KEY_RECORDS, OVERLAP, HISTORY = 0.6, 24, 200, 5, 0.6, 200
@@ -105,11 +106,16 @@ def profile(records: DataFrame, most: int = 4 * MAX_COLUMNS) -> dict[str, dict]:
     """
     each = records.select(F.explode("fields").alias("key", "v"))
     v = F.col("v")
+    each = each.withColumns(parts := literals_parts(v))
+    known = {k: F.col(k) for k in parts}
     filled = v["kind"] != "null"
     count = lambda c, name: F.count_if(c).alias(name)
     facts = [F.count("*").alias("present"), count(filled, "filled"), count(v["kind"].isin("object", "array"), "nested"), F.approx_count_distinct(F.sha2(v["json"], 256)).alias("distinct_about"), F.min(F.when(v["kind"] == "text", v["text"])).alias("low"), F.max(F.when(v["kind"] == "text", v["text"])).alias("high"), count(v["kind"] == "text", "texts")]
-    facts += [count(fits(k, v), f"fit_{k}") for k in KINDS]
-    return {r["key"]: r.asDict() for r in each.groupBy("key").agg(*facts).orderBy(F.desc("present"), "key").limit(most).collect()}
+    facts += [count(fits(k, v, known), f"fit_{k}") for k in KINDS]
+    # least and greatest texts alone would have all values of all records sorted by field; with a set beside them they are hashed
+    by_hash = F.collect_set(F.lit(True)).alias("_by_hash")
+    found = each.groupBy("key").agg(*facts, by_hash).orderBy(F.desc("present"), "key").limit(most).collect()
+    return {r["key"]: {k: x for k, x in r.asDict().items() if k != "_by_hash"} for r in found}
 
 
 def unique(records: DataFrame, keys: list[str]) -> list[str]:
