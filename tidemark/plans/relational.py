@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .sql import guard
 
@@ -155,5 +156,21 @@ def run(statement: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def theta(statement: str, table: str, low: str, high: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that joins a table with itself where low is less than high, both of one row each. Pairs are made in as many tasks
+    as a shuffle has, not in as many as the table has files, and of rows only that are in some pair or may be."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        guard(spark, statement)
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        ends = rows.selectExpr(f"min({low}) as low", f"max({high}) as high").first()
+        kept = rows.where((F.expr(low) < F.lit(ends["high"])) | (F.expr(high) > F.lit(ends["low"])))
+        kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).createOrReplaceTempView(table)
+        return spark.sql(statement)
+
+    return query
+
+
 QUERIES = {k: run(s) for k, s in SAME.items()} | {k: run(s) for k, (s, _) in PAIRS.items()}
+QUERIES["join_theta"] = theta(SAME["join_theta"], "supplier", "s_acctbal", "s_acctbal - 9000")
 ORACLES = dict(SAME) | {k: d for k, (_, d) in PAIRS.items() if d}
