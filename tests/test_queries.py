@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidemark.functions import models
 from tidemark.operators import joins
 from tidemark.plans import engine, relational
+from tidemark.session import BATCH, BATCH_BYTES
 
 OWN = {**relational.QUERIES, **engine.QUERIES}
 SAID = {**relational.ORACLES, **engine.ORACLES}
@@ -52,6 +54,23 @@ def test_pairs_are_dealt_out(spark, tmp_path, monkeypatch):
     assert {r.query_id: (r.vec_id, r.d) for r in got.collect() if r.query_id in (100, 120, 160)} == {100: (0, None), 160: (60, None)}
 
 
+def test_model_batches_are_bounded(spark):
+    """Long texts reach a model in batches of bounded bytes, and a worker's cache doesn't hold them."""
+
+    class Counted:
+        def embed(self, texts):
+            return [[float(len(texts))] for _ in texts]
+
+    kept = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, "64m")
+    try:
+        texts = spark.range(0, 600, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 23_000)).alias("t"))
+        assert texts.select(models.embed_function(Counted())("t")[0].alias("n")).agg(F.max("n")).first()[0] * 23_000 < 1.2 * BATCH_BYTES
+    finally:
+        spark.conf.set(BATCH, kept)
+    assert len(models.digest("x" * 24_000)) == 16
+
+
 def test_plans(spark, sf):
     """Filters and columns reach the scan, and a rank limit stays above the choice of the newest row."""
     plan = relational.QUERIES["filter_numeric"](spark, sf)._jdf.queryExecution().executedPlan().toString()
