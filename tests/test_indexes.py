@@ -6,8 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.search import search
+from tidemark.sources import indexes
 from tidemark.sources.tables import Catalog
 
 
@@ -110,3 +112,18 @@ def test_another_metric_rewrites_cells(spark, catalog):
     assert all(g["cells"]["v"]["of"] == after["centres"]["v"]["name"] for g in after["generations"])
     assert search(catalog.table("vs"), {"vector": rows[3][1], "k": 1}).first().id == 3
     assert table.vacuum(0) == 1
+
+
+def test_words_are_counted_once(spark, catalog, monkeypatch):
+    """An index's ranges look at its postings more than once, and the words of a text are counted before that."""
+    seen, words = spark.sparkContext.accumulator(0), indexes.words
+
+    def noted(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(indexes, "words", lambda c: words(F.udf(noted, "string").asNondeterministic()(c)))
+    table = catalog.create("t", spark.range(40).select("id", F.concat(F.lit("one two one w"), F.col("id").cast("string")).alias("text")), ["id"])
+    table.index_text("text")
+    assert seen.value == 40
+    assert search(catalog.table("t"), {"full_text": "w7 w9", "columns": ["id"]}).count() == 2
